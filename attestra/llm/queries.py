@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, token_records
+from attestra.llm import byte_bpe, chat_trees, decontaminate, license_scan, token_records, url_rules
+from attestra.llm.common import stored
 from attestra.session import table
 
 
@@ -23,8 +24,72 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated")
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["is_phrase"])
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+    starts = F.transform(base, lambda x: x["first_word"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"), names(F.col("spans")).alias("labels"), F.coalesce(F.array_max(F.transform("spans", lambda x: x["coverage"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = stored(chat_trees.chain(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)), "messages")
+    out = chat_trees.format_paths(messages, chat_trees.best_paths(messages))
+    told, loss = chat_trees.read_back(F.col("formatted")), chat_trees.under_loss(F.col("formatted"), F.col("loss"))
+    out = out.select(F.col("tree_id").alias("conv_id"), told.alias("told"), loss.alias("trained"), F.length("formatted").cast("long").alias("formatted_chars"))
+    turns = F.array_join(F.transform("told", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("told").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), "formatted_chars"
+    )
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_decontamination": op5_decontamination,
+    "op8_license_scan": op8_license_scan,
+    "op9_url_rules": op9_url_rules,
+    "op10_chat_trees": op10_chat_trees,
+}
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_ALNUM}) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_FOLDED}, {_ALNUM}) AS w FROM benchmark),
+        m AS (SELECT item_id, w, least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM m)),
+        places AS (SELECT doc_id, w, k.m, unnest(range(1, len(w) - k.m + 2)) AS i FROM d, (SELECT DISTINCT m FROM m) k WHERE len(w) >= k.m),
+        met AS (SELECT doc_id, i, p.m, item_id FROM places p JOIN win ON p.m = win.m AND array_to_string(p.w[p.i:p.i + p.m - 1], ' ') = win.s),
+        hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM met) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM met) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+               sha256(coalesce(items.names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_chat_trees": r"""
+        WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, len(role) + len(text) + 14 + len(regexp_replace(role || text, '[^\\#<:]', '', 'g')) AS n FROM m)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
-ORACLE_SQL: dict[str, str] = {}
