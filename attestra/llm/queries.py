@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, chat_trees, decontaminate, hnsw_dedup, license_scan, ngram_join, token_records, url_rules
+from attestra.llm import byte_bpe, chat_trees, decontaminate, hnsw_dedup, license_scan, ngram_join, quality_bayes, token_records, url_rules, warc_revisit
 from attestra.llm.common import stored
 from attestra.session import table
 
@@ -28,6 +28,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests)
 
 
+def op4_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisit.resolve(warc_revisit.captures(table(spark, sf_dir, "pages")))
+    told = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return found.select("record_id", "canonical_url", "status", "response_id", F.unix_seconds("response_ts").alias("response_second"), told.alias("headers"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -39,6 +45,11 @@ def op6_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_bayes.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "p_low_quality", "p_toxic", "kept")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["is_phrase"])
@@ -71,8 +82,10 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_ngram_join": op2_ngram_join,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc_revisit": op4_warc_revisit,
     "op5_decontamination": op5_decontamination,
     "op6_hnsw_dedup": op6_hnsw_dedup,
+    "op7_quality_bayes": op7_quality_bayes,
     "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_chat_trees": op10_chat_trees,
@@ -90,6 +103,17 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.b AS component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = d.doc_id""",
+    "op4_warc_revisit": r"""
+        WITH u AS (SELECT page_id, length(coalesce(url, '')) AS n, md5(coalesce(html, '')) AS tag, length(coalesce(html, '')) AS size,
+                          regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['h', 'p', 'q']) AS x FROM pages),
+        c AS (SELECT page_id, n, tag, size, regexp_replace(regexp_replace(translate(x.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(?:80|443)$', ''), '^www\.', '') AS h,
+                     regexp_replace(x.p, '/+$', '') AS p, array_to_string(list_sort([t FOR t IN string_split(x.q, '&') IF t <> '' AND NOT starts_with(t, 'utm_')]), '&') AS q FROM u),
+        k AS (SELECT page_id, tag, size, page_id + 1000 * n AS again, CASE WHEN h <> '' THEN h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical_url FROM c),
+        m AS (SELECT r.page_id AS a, max(f.page_id) AS b FROM k r JOIN k f ON r.canonical_url = f.canonical_url AND f.page_id < r.again GROUP BY r.page_id)
+        SELECT 2 * r.page_id + 1 AS record_id, r.canonical_url, CASE WHEN f.page_id IS NULL THEN 'no-response' WHEN f.tag = r.tag THEN 'etag' ELSE 'mismatch' END AS status,
+               2 * f.page_id AS response_id, f.page_id AS response_second,
+               CASE WHEN f.tag = r.tag THEN 'cache-control: max-age=3600' || chr(10) || 'content-length: ' || f.size || chr(10) || 'content-type: text/html' || chr(10) || 'etag: W/' || r.tag END AS headers
+        FROM k r LEFT JOIN m ON m.a = r.page_id LEFT JOIN k f ON f.page_id = m.b""",
     "op5_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_ALNUM}) AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_FOLDED}, {_ALNUM}) AS w FROM benchmark),

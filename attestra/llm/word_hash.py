@@ -105,6 +105,15 @@ def words(part: np.ndarray, offsets: np.ndarray, kind=SPACED) -> tuple[np.ndarra
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
+def prefixes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, kind=ALNUM) -> np.ndarray:
+    """Hash of the first `size` bytes of each word (of all its bytes, if it is shorter)."""
+    up, down = _power(len(part) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kind[0][part] * up[: len(part)], dtype=np.uint64)])
+        stops = np.minimum(ends, starts + size)
+        return mix((sums[stops] - sums[starts]) * down[starts] + np.uint64(size << 32) + (stops - starts).astype(np.uint64))
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each word on; the last k - 1 positions have none."""
     n = len(hashes) - k + 1
