@@ -17,12 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from attestra.llm.common import stored
 from attestra.llm.word_hash import ALNUM, blocks, grams, words
 
 SPAN, GRAM = 13, 5
 #: Words of all items up to which the items go to every task; beyond it, kept hashes are joined by a shuffle.
 LOCAL_WORDS = 2_000_000
+_FOUND = "struct<n_words: bigint, n_hit: bigint, items: array<string>>"
+_ARROW_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
 
 
 def winnowed(hashes: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +104,9 @@ class Items:
         return (low + int(left[-1]) + 1 if len(left) else low), (p + int(right[0]) if len(right) else high)
 
 
-def contaminated(share: int = 20) -> Column:
+def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
     """Whether the words hit are one in `share`, or more, of a document's words."""
-    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+    return (n_hit > 0) & (share * n_hit >= n_words)
 
 
 def _item_rows(ids: list, texts: pa.Array) -> list[tuple[object, np.ndarray]]:
@@ -113,8 +117,8 @@ def _item_rows(ids: list, texts: pa.Array) -> list[tuple[object, np.ndarray]]:
     return out
 
 
-def _report(items: Items, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    """One row for each text: its words, the words inside hits, and the items hit."""
+def _report(items: Items, texts: pa.Array) -> pa.StructArray:
+    """One value for each text: its words, the words inside hits, and the items hit."""
     counts, hit, names = [], [], []
     for a, b, part, offsets in blocks(texts):
         h, _, _, bounds = words(part, offsets, ALNUM)
@@ -129,59 +133,68 @@ def _report(items: Items, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         hit.append(inside[bounds[1:]] - inside[bounds[:-1]])
         names += [sorted(map(str, of.get(i, ()))) for i in range(b - a)]
     empty = np.zeros(0, np.int64)
-    return pa.RecordBatch.from_pydict(
-        {"doc_id": ids, "n_words": np.concatenate([empty, *counts]), "n_hit": np.concatenate([empty, *hit]), "items": pa.array(names, pa.list_(pa.string()))}
-    )
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([empty, *counts])), pa.array(np.concatenate([empty, *hit])), pa.array(names, pa.list_(pa.string()))], fields=list(_ARROW_FOUND))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", local_words: int = LOCAL_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_hit, items array<string>) of every document.
+def flagged(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text", local_words: int = LOCAL_WORDS) -> DataFrame:
+    """docs with a column `contamination`: struct<n_words long, n_hit long, items array<string>>.
 
     Words are runs of ASCII letters (folded), digits and non-ASCII characters. A window is `span` consecutive
     words of an item, or a shorter item as a whole; n_hit counts the words inside any occurrence of a window,
-    and items names the items that have one, sorted as strings. docs: id_col (long) and text_col; benchmark:
-    item_id and text; further columns are ignored. A null or wordless text has no words and is hit by nothing,
-    a null or wordless item hits nothing, an item without an id is left out, repeated items count once and
-    repeated documents are reported as often as they occur. Empty tables give no hits, or no rows.
+    and items names the items that have one, sorted as strings. benchmark: item_id and text; further columns are
+    ignored, those of docs are kept. A null or wordless text has no words and is hit by nothing, a null or wordless
+    item hits nothing, an item without an id is left out, repeated items count once and repeated documents are
+    reported as often as they occur. Empty tables give no hits, or no rows.
 
     The items are counted first. Up to local_words words they go to each task and documents are read once,
     without a shuffle. Beyond, kept hashes of both sides are joined by a shuffle, and only documents with a
-    joined hash are read again, with the candidate items of each.
+    joined hash are compared, with the candidate items of each.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bench = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    schema = "doc_id long, n_words long, n_hit long, items array<string>"
-    if size <= 2 * local_words:  # a word and its separator take two characters at least
-        local = bench.toPandas()
-        rows = spark.sparkContext.broadcast((local["item_id"].tolist(), pa.array(local["text"].tolist(), pa.large_string())))
+    columns = docs.columns
+    at = columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("contamination", T._parse_datatype_string(_FOUND))])
+    if size > 2 * local_words:  # a word and its separator take two characters at least
+        return _by_join(docs, bench, span, gram, text_col, schema)
+    local = bench.toPandas()
+    rows = docs.sparkSession.sparkContext.broadcast((local["item_id"].tolist(), pa.array(local["text"].tolist(), pa.large_string())))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(_item_rows(*rows.value), span, gram)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _report(items, batch.column(at))], names=[*columns, "contamination"])
 
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(_item_rows(*rows.value), span, gram)
-            for batch in batches:
-                yield _report(items, batch.column(0), batch.column(1))
+    return docs.mapInArrow(near, schema)
 
-        return docs.mapInArrow(near, schema)
-    return _by_join(docs, bench, span, gram, schema)
+
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", local_words: int = LOCAL_WORDS) -> DataFrame:
+    """(doc_id, n_words, n_hit, items array<string>) of every document, as flagged() finds them."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return flagged(docs, benchmark, span, gram, "text", local_words).select("doc_id", "contamination.*")
 
 
-def _by_join(docs: DataFrame, bench: DataFrame, span: int, gram: int, schema: str) -> DataFrame:
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    lengths = [r[0] for r in _kept(bench.withColumnRenamed("item_id", "key"), [], span, gram).select("k").distinct().toLocalIterator()]
-    left = _kept(docs.select(F.col("row").alias("key"), "text"), sorted(lengths), span, gram)
-    right = _kept(bench.withColumnRenamed("item_id", "key"), [], span, gram).withColumnRenamed("key", "item_id")
-    pairs = left.join(right, ["k", "hash"]).select(F.col("key").alias("row"), "item_id").distinct()
-    chosen = pairs.join(bench, "item_id").groupBy("row").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item"))).alias("near"))
+def _by_join(docs: DataFrame, bench: DataFrame, span: int, gram: int, text_col: str, schema: T.StructType) -> DataFrame:
+    row = "_row"
+    docs = docs.withColumn(row, F.monotonically_increasing_id())
+    right = stored(_kept(bench.withColumnRenamed("item_id", "key"), [], span, gram).withColumnRenamed("key", "item_id"), "items")
+    lengths = sorted(r[0] for r in right.select("k").distinct().toLocalIterator())
+    left = _kept(docs.select(F.col(row).alias("key"), F.col(text_col).cast("string").alias("text")), lengths, span, gram)
+    pairs = left.join(right, ["k", "hash"]).select(F.col("key").alias(row), "item_id").distinct()
+    chosen = pairs.join(bench, "item_id").groupBy(row).agg(F.collect_list(F.struct("item_id", F.col("text").alias("item"))).alias("_near"))
+    columns = [f.name for f in schema.fields[:-1]]
+    at = columns.index(text_col)
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for i in range(batch.num_rows):
-                near = batch.column(2)[i].as_py() or []
+                near = batch.column(len(columns))[i].as_py() or []
                 rows = _item_rows([x["item_id"] for x in near], pa.array([x["item"] for x in near], pa.large_string())) if near else []
-                yield _report(Items(rows, span, gram), batch.column(0).slice(i, 1), batch.column(1).slice(i, 1))
+                out += _report(Items(rows, span, gram), batch.column(at).slice(i, 1)).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, _ARROW_FOUND)], names=[*columns, "contamination"])
 
-    return docs.join(chosen, "row", "left").select("doc_id", "text", "near").mapInArrow(far, schema)
+    return docs.join(chosen, row, "left").select(*columns, "_near").mapInArrow(far, schema)
 
 
 def _kept(rows: DataFrame, lengths: list[int], span: int, gram: int) -> DataFrame:
