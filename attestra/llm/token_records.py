@@ -34,7 +34,9 @@ INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("len
 #: Distinct words whose ids a worker keeps, in each of two generations.
 CACHE_WORDS = 300_000
 CACHE_CHARS = 64
-#: A comma or full stop between an ASCII letter and white space is a token of its own.
+#: Words of Latin letters, each of which is one code point in either case. And:
+#: a comma or full stop between an ASCII letter and white space is a token of its own.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _STOP = re.compile(r"(?<=[A-Za-z])(?=[,.](?:[ \n]|\Z))")
 
 
@@ -61,15 +63,35 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
 
 
 class _Words(dict):
-    """Ids of words, as bytes; a word that isn't there is encoded, and kept if it is short."""
+    """Ids of words, as bytes; a word that isn't there is encoded, and kept if it is short.
 
-    def __init__(self, tokenizer, kind: str, old: dict[str, bytes]):
+    Most unseen words are plain: Latin letters only. The tokenizer's pipeline does nothing to them but fold case
+    and rename bytes, so they go to its merge model at once. That is proved for the file at hand on probe words;
+    where it fails, every word takes the pipeline.
+    """
+
+    def __init__(self, tokenizer, kind: str, old: dict[str, bytes], plain: dict[int, str] | None = None):
         super().__init__({"": b""})
-        self.encode, self.kind, self.old = tokenizer.encode, kind, old
+        self.tokenizer, self.kind, self.old = tokenizer, kind, old
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.plain = self._probed() if plain is None else plain
+
+    def _probed(self) -> dict[int, str]:
+        letters = [c for c in map(chr, range(256)) if _PLAIN(c)]
+        try:
+            names = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c.lower())[0][0] for c in letters}
+            words = [a + b + c for a, b, c in zip(letters, letters[7:] + letters[:7], letters[31:] + letters[:31], strict=True)] + ["Encyclopaedia", "Überfluß"]
+            same = all([x.id for x in self.merge(w.translate(names))] == self.encode(w, add_special_tokens=False).ids for w in words)
+        except Exception:  # a tokenizer without these parts
+            same = False
+        return names if same else {}
 
     def __missing__(self, word: str) -> bytes:
         if (ids := self.old.get(word)) is None:
-            ids = array(self.kind, self.encode(word, add_special_tokens=False).ids).tobytes()
+            if self.plain and _PLAIN(word):
+                ids = array(self.kind, [x.id for x in self.merge(word.translate(self.plain))]).tobytes()
+            else:
+                ids = array(self.kind, self.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= CACHE_CHARS:
             self[word] = ids
         return ids
@@ -93,12 +115,26 @@ class WordCachedEncoder:
             if not text:
                 yield b""
                 continue
-            if text.isascii() and "<|" not in text:
+            if text.isascii() and "<|" not in text:  # a special token is matched before case is folded
                 text = text.lower()
             yield b"".join(map(self.known.__getitem__, _STOP.sub(" ", text).replace("\n", " ").split(" ")))
             if len(self.known) > CACHE_WORDS:
                 self.known.old = {}
-                self.known = _Words(self.tokenizer, self.kind, self.known)
+                self.known = _Words(self.tokenizer, self.kind, self.known, self.known.plain)
+
+
+_encoders: dict[tuple[str, int], tuple[WordCachedEncoder, str]] = {}
+
+
+def _encoder(path: str, end_id: int | None) -> tuple[WordCachedEncoder, str]:
+    """The encoder that this worker keeps from task to task, and the type of its ids."""
+    key = path, end_id or 0
+    if key not in _encoders:
+        from tokenizers import Tokenizer
+
+        wide = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), key[1] + 1) > 1 << 16
+        _encoders[key] = WordCachedEncoder(path, "<u4" if wide else "<u2"), "<u4" if wide else "<u2"
+    return _encoders[key]
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int | None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,12 +152,9 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int | None, path: str
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         shard = TaskContext.get().partitionId()
-        wide = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) > 1 << 16 or (end_id or 0) >= 1 << 16
-        dtype = "<u4" if wide else "<u2"
-        encoder = WordCachedEncoder(tokenizer, dtype)
+        encoder, dtype = _encoder(tokenizer, end_id)
+        wide = dtype == "<u4"
         tail = np.array([] if end_id is None else [end_id], dtype).tobytes()
         system, base = fs.FileSystem.from_uri(path)
         out, index, at, tokens, first = None, [], 0, 0, None
