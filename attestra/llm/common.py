@@ -36,6 +36,16 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+#: Rows of a driver-made table up to which every task gets a copy; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def dictionary(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver holds, marked for broadcast if it has at most BROADCAST_ROWS."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of an undirected graph, as (id, component_id).
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestra.llm.common import dictionary
+
 #: The phrases and labels of the base scan.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -63,9 +65,9 @@ def pair_hashes(words: Column) -> Column:
 def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
     """(hash, template, label, is_phrase, place, n_pairs) of each word pair; a few hundred rows, given by the caller."""
     rows = [(text, label, kind) for group, kind in ((phrases, True), (notices, False)) for text, label in group.items()]
-    t = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "template int, text string, label string, is_phrase boolean")
-    t = t.withColumn("pairs", pair_hashes(F.split("text", " ")))
-    return t.select("template", "label", "is_phrase", F.size("pairs").alias("n_pairs"), F.posexplode("pairs").alias("place", "hash"))
+    pairs = [(i, label, kind, len(w) - 1, k, w[k], w[k + 1]) for i, (text, label, kind) in enumerate(rows) for w in [text.split(" ")] for k in range(len(w) - 1)]
+    t = dictionary(spark, pairs, "template int, label string, is_phrase boolean, n_pairs int, place int, a string, b string")
+    return t.withColumn("hash", F.xxhash64("a", "b")).drop("a", "b")
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, coverage: float = COVERAGE, step: int = STEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,8 +77,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     repeated rows and null ids are reported row by row; no rows, no result. Spans are sorted; overlapping ones
     all stay. A phrase of a single word can't be found, as its template has no pair.
 
-    The templates are joined to every pair of words: they are a dictionary given by the caller, broadcast if
-    Spark finds them below its threshold. Text is read once; what is shuffled is one count for each document
+    The templates are joined to every pair of words; they are broadcast up to a bound on their pairs. Text is read once; what is shuffled is one count for each document
     and diagonal that got a vote, and one row for each document.
     """
     spark = docs.sparkSession
