@@ -15,12 +15,14 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra import constants as K
 
 #: White space as ECMAScript's \s has it.
 SPACE = r"[\t\n\u000B\f\r    -     　﻿]"
-MISMATCH_TYPE = "struct<count: int, items: array<struct<kind: string, i: int, bc: string, ocr: string>>, unclear: boolean, dist: int>"
+_ITEM = T.StructType().add("kind", T.StringType()).add("i", T.IntegerType()).add("bc", T.StringType()).add("ocr", T.StringType())
+MISMATCH_TYPE = T.StructType().add("count", T.IntegerType()).add("items", T.ArrayType(_ITEM)).add("unclear", T.BooleanType()).add("dist", T.IntegerType())
 
 
 @cache
