@@ -41,21 +41,24 @@ def best_paths(messages: DataFrame, per_tree: int | None = 1, max_rounds: int =
     m = messages.select("tree_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = m.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("p"))
     m = m.join(known, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p")), "left")
-    at = stored(m.select("tree_id", "msg_id", "parent_id", F.col("p").alias("up"), "score", F.lit(1).alias("n")), "tree")
-    # Round r: up is the ancestor 2**r above; score and n cover the message and those below that ancestor.
-    jumps = [at.where("up is not null").select("tree_id", "msg_id", "up")]
+    columns = ["tree_id", "msg_id", "parent_id", "up", "score", "n"]
+    at = stored(m.withColumn("up", F.col("p")).withColumn("n", F.lit(1)).select(columns), "tree")
+    # Round r: up is the ancestor 2**r above; score and n cover the message and those below that ancestor. Messages
+    # whose stretch reaches a root are done and only looked up from then on.
+    done, open_, jumps = at.where("up is null"), at.where("up is not null"), []
     for _ in range(max_rounds):
-        if jumps[-1].isEmpty():
+        if open_.isEmpty():
             break
-        a, b = at.alias("a"), at.alias("b")
+        jumps.append(open_.select("tree_id", "msg_id", "up"))
+        a, b = open_.alias("a"), done.union(open_).alias("b")
         on = F.col("a.tree_id").eqNullSafe(F.col("b.tree_id")) & (F.col("a.up") == F.col("b.msg_id"))
-        at = a.join(b, on, "left").select("a.tree_id", "a.msg_id", "a.parent_id", F.col("b.up").alias("up"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), (F.col("a.n") + F.coalesce("b.n", F.lit(0))).alias("n"))
+        at = a.join(b, on).select("a.tree_id", "a.msg_id", "a.parent_id", "b.up", (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.n") + F.col("b.n")).alias("n"))
         at = stored(at, "tree")
-        jumps.append(at.where("up is not null").select("tree_id", "msg_id", "up"))
+        done, open_ = done.union(at.where("up is null")), at.where("up is not null")
     else:
         raise ValueError("the parents of some messages form a cycle")
-    parents = at.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).where("p is not null").distinct()
-    leaves = at.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("p")), "left_anti")
+    parents = done.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).where("p is not null").distinct()
+    leaves = done.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("p")), "left_anti")
     leaves = leaves.withColumn("mean_score", F.col("score") / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("mean_score"), F.desc("n"), "msg_id"))
     leaves = leaves.withColumn("path", rank)
@@ -63,7 +66,7 @@ def best_paths(messages: DataFrame, per_tree: int | None = 1, max_rounds: int =
         leaves = leaves.where(F.col("path") <= per_tree)
     on_path = leaves.select("tree_id", "path", "mean_score", "msg_id", F.col("n").alias("depth"))
     # Down the pointers, widest first: each message found so far adds the ancestor 2**r above it.
-    for r in range(len(jumps) - 2, -1, -1):
+    for r in range(len(jumps) - 1, -1, -1):
         a, b = on_path.alias("a"), jumps[r].alias("b")
         on = F.col("a.tree_id").eqNullSafe(F.col("b.tree_id")) & (F.col("a.msg_id") == F.col("b.msg_id"))
         more = a.join(b, on).select("a.tree_id", "a.path", "a.mean_score", F.col("b.up").alias("msg_id"), (F.col("a.depth") - (1 << r)).alias("depth"))
