@@ -33,7 +33,7 @@ def count_anomalies(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame
     """
     how_often = counts.where(F.col(n) > 0).groupBy(*by, n).agg(F.count("*").alias("_f"))
     mode = how_often.groupBy(*by).agg(F.max_by(n, F.struct("_f", n)).alias("mode")) if by else how_often.agg(F.max_by(n, F.struct("_f", n)).alias("mode"))
-    joined = counts.join(mode, by) if by else counts.join(F.broadcast(mode))
+    joined = counts.join(mode, by) if by else counts.withColumn("mode", mode.scalar())
     return joined.where(F.col(n) != F.col("mode"))
 
 
@@ -58,7 +58,6 @@ def warnings(pages: DataFrame, symbols: DataFrame, frames: DataFrame, documents:
     odd = row(count_anomalies(symbols_by_label(symbols, frames), ["doc_id", "page_no"]), "count-differs", F.col("page_no"), F.col("label"), F.col("n"), F.col("mode"))
     totals = documents.join(symbols.groupBy("doc_id").agg(F.count("*").alias("found")), "doc_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
     wrong = row(totals.where(reconcile(F.col("expect_total"), F.col("found"))["missing"].isNotNull()), "total-differs", none("int"), none("int"), F.col("found"), F.col("expect_total"))
-    # At most one row a required font, so every document is paired with a handful of constants.
-    fonts = lost_fonts.agg(F.array_join(F.array_sort(F.collect_list("font")), ",").alias("fonts")).where("fonts <> ''")
-    lost = row(symbols.select("doc_id").distinct().join(F.broadcast(fonts)), "font-missing", none("int"), none("int"), none("long"), F.col("fonts"))
+    fonts = lost_fonts.agg(F.array_join(F.array_sort(F.collect_list("font")), ",").alias("fonts"))
+    lost = row(symbols.select("doc_id").distinct().withColumn("fonts", fonts.scalar()).where("fonts <> ''"), "font-missing", none("int"), none("int"), none("long"), F.col("fonts"))
     return empty.unionByName(odd).unionByName(wrong).unionByName(lost)
