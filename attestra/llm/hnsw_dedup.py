@@ -43,6 +43,7 @@ class Graph:
         self.near: list[np.ndarray] = []
         for k in range(len(self.counts) - 1, -1, -1):
             self.near.insert(0, self._layer(self.counts[k], 2 * m if k == 0 else m, beam, k))
+        self.near[0] = self._reach_all(self.near[0])
 
     def _layer(self, n: int, width: int, beam: int, k: int) -> np.ndarray:
         """Neighbours in a layer: what a beam search finds among the members before, and back links."""
@@ -63,46 +64,68 @@ class Graph:
         return near
 
     def _connect(self, near: np.ndarray, rows: np.ndarray, found: np.ndarray) -> None:
-        """Give rows their diverse nearest of found; offer the links back, the nearest taking the place of the farthest."""
+        """Give rows their neighbours among found, then offer each link back."""
         width = near.shape[1]
-        score = np.where((found >= 0) & (found != rows[:, None]), np.einsum("nd,nkd->nk", self.x[rows], self.x[np.maximum(found, 0)]), -2)
-        pick = _top(score, found, found.shape[1])
-        found, score = np.take_along_axis(found, pick, 1), np.take_along_axis(score, pick, 1)
+        for a in range(0, len(rows), 256):
+            near[rows[a : a + 256]] = self._select(rows[a : a + 256], found[a : a + 256], width)
+        src, to = np.repeat(rows, width), near[rows].reshape(-1)
+        src, to = src[to >= 0], to[to >= 0]
+        score = np.einsum("nd,nd->n", self.x[src], self.x[to])
+        order = np.lexsort((-score, to))
+        src, to = src[order], to[order]
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
+        rank = np.arange(len(to)) - np.repeat(first, np.diff(np.append(first, len(to))))
+        back = np.full((len(first), width), -1, np.int64)
+        take = rank < width
+        back[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(to))))[take], rank[take]] = src[take]
+        ends = to[first]
+        for a in range(0, len(ends), 256):
+            part = ends[a : a + 256]
+            near[part] = self._select(part, np.concatenate([near[part], back[a : a + 256]], axis=1), width)
+
+    def _select(self, rows: np.ndarray, found: np.ndarray, width: int) -> np.ndarray:
+        """Of found, nearest first, those that are nearer to their row than to one taken before; others fill up."""
+        found = np.sort(found, axis=1)
         again = np.zeros(found.shape, bool)
         again[:, 1:] = found[:, 1:] == found[:, :-1]
-        found = np.where(again | (score < -1), -1, found)
-        for i, row in zip(rows.tolist(), found):
-            row = row[row >= 0]
-            row = row[np.sort(np.unique(row, return_index=True)[1])][: 3 * width]
-            near[i] = self._diverse(i, row, width)
-        for i in rows.tolist():
-            for j in near[i][near[i] >= 0].tolist():
-                if i in near[j]:
-                    continue
-                if (free := np.flatnonzero(near[j] < 0)).size:
-                    near[j, free[0]] = i
-                else:
-                    row = np.append(near[j], i)
-                    row = row[np.argsort(-(self.x[row] @ self.x[j]), kind="stable")]
-                    near[j] = self._diverse(j, row, width)
+        bad = again | (found < 0) | (found == rows[:, None])
+        to = np.where(bad, -2, np.einsum("nd,nkd->nk", self.x[rows], self.x[np.maximum(found, 0)]))
+        top = _top(to, found, min(found.shape[1], 3 * width))
+        found, to = np.take_along_axis(found, top, 1), np.take_along_axis(to, top, 1)
+        v = self.x[np.maximum(found, 0)]
+        among = np.einsum("nkd,nld->nkl", v, v)
+        taken, nearest = np.zeros(found.shape, bool), np.full(found.shape, -2.0)
+        for c in range(found.shape[1]):
+            good = (to[:, c] > nearest[:, c]) & (to[:, c] > -2) & (taken.sum(1) < width)
+            taken[:, c] = good
+            nearest = np.where(good[:, None], np.maximum(nearest, among[:, :, c]), nearest)
+        order = np.argsort(~taken, axis=1, kind="stable")[:, :width]
+        out = np.full((len(rows), width), -1, np.int32)
+        out[:, : order.shape[1]] = np.where(np.take_along_axis(to, order, 1) > -2, np.take_along_axis(found, order, 1), -1)
+        return out
 
-    def _diverse(self, i: int, row: np.ndarray, width: int) -> np.ndarray:
-        """Of candidates, nearest first, those that are nearer to i than to one taken before; others fill up."""
-        out = np.full(width, -1, np.int32)
-        if not len(row):
-            return out
-        to = self.x[row] @ self.x[i]
-        among = self.x[row] @ self.x[row].T
-        taken: list[int] = []
-        for c in range(len(row)):
-            if len(taken) == width:
+    def _reach_all(self, near: np.ndarray) -> np.ndarray:
+        """near with columns added so that a walk from member 0 reaches every member."""
+        n = len(near)
+        spare = np.full((n, 2), -1, np.int32)
+        seen, edge = np.zeros(n, bool), np.zeros(1, np.int64)
+        seen[0] = n > 0
+        while n:
+            while len(edge):
+                more = np.unique(np.concatenate([near[edge].reshape(-1), spare[edge].reshape(-1)]))
+                edge = more[(more >= 0)]
+                edge = edge[~seen[edge]]
+                seen[edge] = True
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
                 break
-            if not taken or to[c] > among[c, taken].max():
-                taken.append(c)
-        spare = [c for c in range(len(row)) if c not in set(taken)][: width - len(taken)]
-        chosen = row[taken + spare]
-        out[: len(chosen)] = chosen
-        return out
+            # The nearest member that is reached and has a place left takes in a lost one, which leads on to others.
+            i = lost[0]
+            free = np.flatnonzero(seen & (spare < 0).any(1))
+            j = free[(self.x[free] @ self.x[i]).argmax()]
+            spare[j, np.flatnonzero(spare[j] < 0)[0]] = i
+            seen[i], edge = True, np.array([i])
+        return np.concatenate([near, spare], axis=1)
 
     def _enter(self, q: np.ndarray, k: int, limit: int) -> np.ndarray:
         """Where a search of layer k begins: the nearest member that greedy descent finds in the layers above."""
@@ -129,15 +152,20 @@ class Graph:
         seen[np.arange(n), start] = True
         open_ = np.zeros((n, beam), bool)
         open_[:, 0] = True
-        live = np.arange(n)
+        live, step = np.arange(n), max(1, beam // 32)  # a wide beam opens more members at a time
         while len(live):
-            pick = np.where(open_[live], score[live], -3).argmax(1)
-            open_[live, pick] = False
-            more = near[ids[live, pick]].astype(np.int64)
+            order = np.argpartition(-np.where(open_[live], score[live], -3), min(step, beam) - 1, axis=1)[:, :step]
+            ready = np.take_along_axis(open_[live], order, 1)
+            open_[live[:, None], order] = False
+            more = np.where(ready[:, :, None], near[np.maximum(ids[live[:, None], order], 0)], -1).reshape(len(live), -1).astype(np.int64)
+            if step > 1:
+                more = np.sort(more, axis=1)
+                more[:, 1:][more[:, 1:] == more[:, :-1]] = -1
             bad = (more < 0) | (more >= limit)
             more = np.where(bad, 0, more)
             bad |= seen[live[:, None], more]
-            seen[live[:, None], more] = True
+            at = np.nonzero(~bad)
+            seen[live[at[0]], more[at]] = True
             s = np.where(bad, -2, np.einsum("nd,nkd->nk", q[live], self.x[more])).astype(np.float32)
             all_ids = np.concatenate([ids[live], np.where(bad, -1, more)], axis=1)
             all_score = np.concatenate([score[live], s], axis=1)
@@ -232,6 +260,9 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
         links = np.bincount(back, weights=members[dst], minlength=len(name)).astype(np.int64)
         return _spanning(keys, ids, name, links, src, dst)
 
+    # Few bytes but much work in each task: as many partitions as tasks, which are in proportion to the vectors.
+    n = counts.agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0] or 1
+    tasks = tasks.repartition(int(n), "task")
     found = stored(tasks.groupBy("task").applyInArrow(run, "key string, links long, src long, dst long"), "links")
     merged = connected_components(found.where("src is not null").select("src", "dst"))
     linked = found.groupBy("key").agg(F.sum("links").alias("links"))
