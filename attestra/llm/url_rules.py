@@ -12,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import lower_ascii, stored
+from attestra.llm.common import dictionary, lower_ascii, stored
 
 #: (host, path, verdict) of the given rules.
 RULES = [
@@ -85,14 +85,14 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] | None = None, min_
     tokens, then of the first by its tokens), and `default` if none does. Null URLs have an empty host and path.
     Repeated rows and null ids are judged row by row; further columns are ignored.
 
-    Given and mined rules are joined by host suffix and by token; both lists are broadcast by Spark only below its
-    threshold. Every URL moves once for the given rules and once for the mined ones, without its page.
+    Given and mined rules are joined by host suffix and by token; both lists are broadcast up to a bound
+    on their rows. Every URL moves once for the given rules and once for the mined ones, without its page.
     """
     spark: SparkSession = urls.sparkSession
     rules = RULES if rules is None else rules
     rows = urls.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.select("row", "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    given = spark.createDataFrame([(i, h, p, v, h + p) for i, (h, p, v) in enumerate(rules)], "n int, on string, prefix string, verdict string, rule string")
+    given = dictionary(spark, [(i, h, p, v, h + p) for i, (h, p, v) in enumerate(rules)], "n int, on string, prefix string, verdict string, rule string")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = rows.withColumn("on", F.explode(suffixes)).join(given, "on", "left")
@@ -102,7 +102,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] | None = None, min_
     ruled = stored(ruled, "ruled")
     mined = mine(ruled.select("tokens", F.col("given").alias("verdict")), min_support, min_confidence)
     index = [(t, i, len(items), verdict, confidence, " ".join(items)) for i, (items, verdict, confidence) in enumerate(mined) for t in items]
-    index = spark.createDataFrame(index, "token string, n int, n_tokens int, verdict string, confidence double, mined string")
+    index = dictionary(spark, index, "token string, n int, n_tokens int, verdict string, confidence double, mined string")
     met = ruled.where("rule is null").select("row", F.explode("tokens").alias("token")).join(index, "token")
     met = met.groupBy("row", "n").agg(F.count("*").alias("hits"), F.first("n_tokens").alias("n_tokens"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("mined").alias("mined"))
     met = met.where("hits = n_tokens").groupBy("row").agg(F.max(F.struct("confidence", "n_tokens", (-F.col("n")).alias("n"), "verdict", "mined")).alias("best"))
