@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is chosen only where none is configured."""
+    """The folder that driver and executors share, as a full URI; a local one is chosen only where none is configured."""
+    context = spark.sparkContext
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.conf.set("spark.checkpoint.dir", found := f"file:///tmp/checkpoints/attestra-{uuid.uuid4().hex}")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(f"file:///tmp/checkpoints/attestra-{uuid.uuid4().hex}")
+        found = context.getCheckpointDir()
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", full).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
