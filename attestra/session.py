@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
-def local_session(cpus: int | str = "*", app: str = "attestra") -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+def local_session(cpus: int | str = "*", app: str = "attestra", **conf: str) -> SparkSession:
+    """A session for tests and benchmarks on one machine; conf has further settings, with _ for dots."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", app: str = "attestra") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(map={k.replace("_", "."): v for k, v in conf.items()})
         .getOrCreate()
     )
 
