@@ -6,6 +6,8 @@ symbol's own reading order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once; a plain Column would be written out wherever it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def quarter(angle: Column) -> Column:
     """Angle in degrees, rounded, from 0 to 359."""
     return F.pmod(half_up(angle), F.lit(360))
@@ -31,41 +38,49 @@ def text_area(corners: Column, width: Column, height: Column, clip: Column, side
     quarter. The area is cut at the page and at clip (null: not). Without an area of two pixels each way rect is
     null and the skew unusable; angle is a multiple of 90 degrees, skew what the axis departs from it.
     """
-    p = [F.get(corners, F.lit(i)) for i in range(4)]
-    ax, ay = p[1]["x"] - p[0]["x"], p[1]["y"] - p[0]["y"]
-    length = F.hypot(ax, ay)
-    ux, uy = ax / F.nullif(length, F.lit(0.0)), ay / F.nullif(length, F.lit(0.0))
-    along = [q["x"] * ux + q["y"] * uy for q in p]
-    down = [q["y"] * ux - q["x"] * uy for q in p]
-    a0, a1, d0, d1 = F.least(*along), F.greatest(*along), F.least(*down), F.greatest(*down)
-    wide, thick = a1 - a0, d1 - d0
-    if side == "below":
-        ends = [a0 - wide * K.BELOW_SIDE, a1 + wide * K.BELOW_SIDE]
-        bands = [d1 + thick * K.BELOW_GAP, d1 + thick * (K.BELOW_GAP + K.BELOW_HEIGHT)]
-        flat = thick < 1
-    else:
-        ends = [a1 + wide * K.RIGHT_GAP, a1 + wide * (K.RIGHT_GAP + K.RIGHT_LENGTH)]
-        bands = [d0 - thick * K.RIGHT_ABOVE, d1 + thick * K.RIGHT_BELOW]
-        flat = (thick < 1) | (wide < 1)
-    xs = [ux * a - uy * b for a in ends for b in bands]
-    ys = [uy * a + ux * b for a in ends for b in bands]
-    degrees = F.degrees(F.atan2(uy, ux))
-    angle = half_up(degrees / 90) * 90
-    zero = F.lit(0.0)
-    x0 = F.greatest(F.least(*xs), zero, clip["x0"])
-    y0 = F.greatest(F.least(*ys), zero, clip["y0"])
-    x1 = F.least(F.greatest(*xs), width, clip["x1"])
-    y1 = F.least(F.greatest(*ys), height, clip["y1"])
     none = F.lit(None).cast("double")
-    some = (length >= 1) & ~flat & (x1 - x0 >= 2) & (y1 - y0 >= 2)
-    ac, dc = (a0 + a1) / 2, (d0 + d1) / 2
-    return F.struct(
-        F.when(some, box(x0, y0, x1, y1)).alias("rect"),
-        F.when((length >= 1) & ~flat, angle).otherwise(0).cast("int").alias("angle"),
-        F.when(some, F.abs(degrees - angle)).otherwise(NO_AREA_SKEW).alias("skew"),
-        F.when(some, ux * ac - uy * dc).otherwise(none).alias("cx"),
-        F.when(some, uy * ac + ux * dc).otherwise(none).alias("cy"),
-    )
+    p = [F.get(corners, F.lit(i)) for i in range(4)]
+    axis = F.struct((p[1]["x"] - p[0]["x"]).alias("x"), (p[1]["y"] - p[0]["y"]).alias("y"), corners.alias("c"), width.alias("w"), height.alias("h"), clip.alias("clip"))
+
+    def unit(s: Column) -> Column:
+        length = F.hypot(s["x"], s["y"])
+        whole = F.when(length >= 1, length)
+        return F.struct((s["x"] / whole).alias("x"), (s["y"] / whole).alias("y"), *(s[k].alias(k) for k in ("c", "w", "h", "clip")))
+
+    def extents(u: Column) -> Column:
+        along = F.transform(u["c"], lambda q: q["x"] * u["x"] + q["y"] * u["y"])
+        down = F.transform(u["c"], lambda q: q["y"] * u["x"] - q["x"] * u["y"])
+        ends = {"a0": F.array_min(along), "a1": F.array_max(along), "d0": F.array_min(down), "d1": F.array_max(down)}
+        degrees = F.degrees(F.atan2(u["y"], u["x"]))
+        return F.struct(u.alias("u"), degrees.alias("degrees"), *(v.alias(k) for k, v in ends.items()))
+
+    def cut(e: Column) -> Column:
+        u, wide, thick = e["u"], e["a1"] - e["a0"], e["d1"] - e["d0"]
+        if side == "below":
+            ends = [e["a0"] - wide * K.BELOW_SIDE, e["a1"] + wide * K.BELOW_SIDE]
+            bands = [e["d1"] + thick * K.BELOW_GAP, e["d1"] + thick * (K.BELOW_GAP + K.BELOW_HEIGHT)]
+            solid = thick >= 1
+        else:
+            ends = [e["a1"] + wide * K.RIGHT_GAP, e["a1"] + wide * (K.RIGHT_GAP + K.RIGHT_LENGTH)]
+            bands = [e["d0"] - thick * K.RIGHT_ABOVE, e["d1"] + thick * K.RIGHT_BELOW]
+            solid = (thick >= 1) & (wide >= 1)
+        xs = [u["x"] * a - u["y"] * b for a in ends for b in bands]
+        ys = [u["y"] * a + u["x"] * b for a in ends for b in bands]
+        zero, ac, dc = F.lit(0.0), (e["a0"] + e["a1"]) / 2, (e["d0"] + e["d1"]) / 2
+        rect = box(F.greatest(F.least(*xs), zero, u["clip"]["x0"]), F.greatest(F.least(*ys), zero, u["clip"]["y0"]), F.least(F.greatest(*xs), u["w"], u["clip"]["x1"]), F.least(F.greatest(*ys), u["h"], u["clip"]["y1"]))
+        return F.struct(F.when(solid, rect).alias("r"), e["degrees"].alias("degrees"), (half_up(e["degrees"] / 90) * 90).alias("angle"), (u["x"] * ac - u["y"] * dc).alias("cx"), (u["y"] * ac + u["x"] * dc).alias("cy"))
+
+    def area(s: Column) -> Column:
+        some = F.coalesce((s["r"]["x1"] - s["r"]["x0"] >= 2) & (s["r"]["y1"] - s["r"]["y0"] >= 2), F.lit(False))
+        return F.struct(
+            F.when(some, s["r"]).alias("rect"),
+            F.when(s["r"].isNotNull(), s["angle"]).otherwise(0).cast("int").alias("angle"),
+            F.when(some, F.abs(s["degrees"] - s["angle"])).otherwise(NO_AREA_SKEW).alias("skew"),
+            F.when(some, s["cx"]).otherwise(none).alias("cx"),
+            F.when(some, s["cy"]).otherwise(none).alias("cy"),
+        )
+
+    return let(let(let(let(axis, unit), extents), cut), area)
 
 
 def usable(area: Column) -> Column:
@@ -74,21 +89,27 @@ def usable(area: Column) -> Column:
 
 def page_to_crop(x: Column, y: Column, rect: Column, angle: Column) -> Column:
     """struct<x, y> in the upright crop of a page point; angles other than 0, 90 and 180 count as 270."""
-    a = quarter(angle)
     point = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
-    left, right, top, bottom = x - rect["x0"], rect["x1"] - x, y - rect["y0"], rect["y1"] - y
-    return F.when(a == 0, point(left, top)).when(a == 90, point(top, right)).when(a == 180, point(right, bottom)).otherwise(point(bottom, left))
+
+    def turn(s: Column) -> Column:
+        left, right, top, bottom = s["x"] - s["r"]["x0"], s["r"]["x1"] - s["x"], s["y"] - s["r"]["y0"], s["r"]["y1"] - s["y"]
+        return F.when(s["a"] == 0, point(left, top)).when(s["a"] == 90, point(top, right)).when(s["a"] == 180, point(right, bottom)).otherwise(point(bottom, left))
+
+    return let(F.struct(x.alias("x"), y.alias("y"), rect.alias("r"), quarter(angle).alias("a")), turn)
 
 
 def crop_to_page(b: Column, rect: Column, angle: Column) -> Column:
     """The page box of a box in the upright crop."""
-    a = quarter(angle)
 
-    def point(x: Column, y: Column) -> tuple[Column, Column]:
-        fromleft, fromright, fromtop, frombottom = rect["x0"], rect["x1"], rect["y0"], rect["y1"]
-        px = F.when(a == 0, fromleft + x).when(a == 90, fromright - y).when(a == 180, fromright - x).otherwise(fromleft + y)
-        py = F.when(a == 0, fromtop + y).when(a == 90, fromtop + x).when(a == 180, frombottom - y).otherwise(frombottom - x)
-        return px, py
+    def turn(s: Column) -> Column:
+        a, r = s["a"], s["r"]
+
+        def point(x: Column, y: Column) -> tuple[Column, Column]:
+            px = F.when(a == 0, r["x0"] + x).when(a == 90, r["x1"] - y).when(a == 180, r["x1"] - x).otherwise(r["x0"] + y)
+            py = F.when(a == 0, r["y0"] + y).when(a == 90, r["y0"] + x).when(a == 180, r["y1"] - y).otherwise(r["y1"] - x)
+            return px, py
+
+        (px, py), (qx, qy) = point(s["b"]["x0"], s["b"]["y0"]), point(s["b"]["x1"], s["b"]["y1"])
+        return box(F.least(px, qx), F.least(py, qy), F.greatest(px, qx), F.greatest(py, qy))
 
-    (px, py), (qx, qy) = point(b["x0"], b["y0"]), point(b["x1"], b["y1"])
-    return box(F.least(px, qx), F.least(py, qy), F.greatest(px, qx), F.greatest(py, qy))
+    return let(F.struct(b.alias("b"), rect.alias("r"), quarter(angle).alias("a")), turn)
