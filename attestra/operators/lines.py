@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra import constants as K
 from attestra.functions.vectors import half_up, upper_median
@@ -66,7 +67,7 @@ def pick_line(glyphs: DataFrame, by: list[str], centre: str = "centre_x") -> Dat
 def bands(glyphs: DataFrame, by: list[str]) -> DataFrame:
     """glyphs with `band`, rows from above: in the order of their middle, a glyph joins the last row if it is within
     0.6 of the upper median height of the row's mean middle so far. The mean moves, so a scan by crop does it."""
-    schema = glyphs.schema.add("band", "integer")
+    schema = T.StructType([*glyphs.schema.fields, T.StructField("band", T.IntegerType())])
 
     def scan(g: pd.DataFrame) -> pd.DataFrame:
         g = g.assign(_c=g.y + g.h / 2).sort_values("_c", kind="stable")

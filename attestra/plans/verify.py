@@ -17,7 +17,7 @@ Work is by page and symbol; only shape clustering needs all glyphs of a document
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra import constants as K
@@ -26,6 +26,7 @@ from attestra.functions.geometry import box, crop_to_page, page_to_crop, text_ar
 from attestra.functions.vectors import upper_median
 from attestra.operators import clusters, lines, regions, sequential, summary, templates
 from attestra.operators.verdict import judge
+from attestra.session import settled
 
 SYMBOL = ["doc_id", "page_no", "seq"]
 
@@ -36,10 +37,12 @@ def located(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     pages = t["page"].select("doc_id", "page_no", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), "rerenderable")
     s = sequential.first_symbols(t["barcode_obs"].select(*SYMBOL, "fmt", "text", "corners"))
     s = s.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
+    s = settled(s)
     s = regions.smallest_container(s, frames, regions.PAGE, SYMBOL).drop("cx", "cy", "mx", "my").join(pages, regions.PAGE)
     s = regions.clips(s, frames)
     area = lambda side, clip: text_area(F.col("corners"), F.col("width"), F.col("height"), F.col(clip), side)
-    return s.withColumn("below", area("below", "clip")).withColumn("right", area("right", "clip_right")).withColumn("value", X.norm(F.col("text"))), frames
+    s = s.withColumn("below", area("below", "clip")).withColumn("right", area("right", "clip_right")).withColumn("value", X.norm(F.col("text")))
+    return settled(s), settled(frames)
 
 
 def chosen_glyphs(symbols: DataFrame, glyphs: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def chosen_glyphs(symbols: DataFrame, glyphs: DataFrame) -> DataFrame:
     g = g.join(places, SYMBOL).withColumn("centre_x", F.col("cx") * scale).withColumn("centre_y", F.col("cy") * scale)
     block = lines.pick_block(g.where("side = 'right' and matrix and right_ok"), crop).select(*crop, "side", "line_no", "pos", "x", "y", "w", "h", "v")
     line = lines.pick_line(g.where("side = 'below' and below_ok"), crop).withColumn("line_no", F.lit(0).cast("int"))
-    line = line.withColumn("pos", F.row_number().over(lines.Window.partitionBy(*crop).orderBy("x", "y")) - 1).select(block.columns)
+    line = line.withColumn("pos", F.row_number().over(Window.partitionBy(*crop).orderBy("x", "y")) - 1).select(block.columns)
     right = block.where("res = 'lo'").groupBy(*SYMBOL).agg(F.count("*").alias("n")).where("n >= 2").select(SYMBOL)
     return block.join(right, SYMBOL, "left_semi").unionByName(line.join(right, SYMBOL, "left_anti"))
 
@@ -93,17 +96,18 @@ def verify(t: dict[str, DataFrame], fonts: tuple[str, ...] = K.FONTS) -> dict[st
     symbols, frames = located(t)
     # As many rows as required fonts.
     missing = tuple(sorted(r["font"] for r in templates.missing_fonts(t["template"], fonts).collect()))
-    glyphs = chosen_glyphs(symbols, t["glyph"])
+    glyphs = settled(chosen_glyphs(symbols, t["glyph"]))
     low = glyphs.where("res = 'lo'")
     # Without glyphs the area below is read as a whole.
     sides = symbols.select(SYMBOL).join(low.select(*SYMBOL, "side").distinct(), SYMBOL, "left").withColumn("side", F.coalesce("side", F.lit("below")))
-    read = text_readings(t["read"], sides)
+    sides = settled(sides)
+    read = settled(text_readings(t["read"], sides))
     # Rows are clustered in the order of the report: by label, from above, from the left.
-    key = F.struct("page_no", "label", "y0", "x0", "seq")
-    numbered = symbols.select(*SYMBOL, key.alias("bc_id"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "label", "y0", "x0", "seq"))
+    numbered = settled(symbols.select(*SYMBOL, number.alias("bc_id")))
     shapes, _ = clusters.shape_reading(low.join(numbered, SYMBOL).select("doc_id", "bc_id", "pos", "h", "v"), read.join(numbered, SYMBOL).select("doc_id", "bc_id", "ocr"))
-    shapes = shapes.join(numbered, ["doc_id", "bc_id"]).drop("bc_id")
-    tpl = template_readings(symbols, glyphs, t, fonts, missing)
+    shapes = settled(shapes.join(numbered, ["doc_id", "bc_id"]).drop("bc_id"))
+    tpl = settled(template_readings(symbols, glyphs, t, fonts, missing))
     area = symbols.join(sides, SYMBOL).select(*SYMBOL, F.when(F.col("side") == "right", F.col("right")).otherwise(F.col("below")).alias("a")).select(*SYMBOL, "a.rect", "a.angle")
     # The text layer is asked for the letters' own box on the page, with a margin of 0.3 heights.
     room = low.groupBy(*SYMBOL).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), (0.3 * upper_median(F.col("h"))).alias("m"))
@@ -115,12 +119,14 @@ def verify(t: dict[str, DataFrame], fonts: tuple[str, ...] = K.FONTS) -> dict[st
     for part in (read, shapes, tpl, layer):
         rows = rows.join(part, SYMBOL, "left")
     right_only = (F.col("side") == "right") & usable(F.col("right"))
+    rows = settled(rows)
     early = F.when(~usable(F.col("below")) & ~F.coalesce(right_only, F.lit(False)), F.when(F.col("below.skew") < 99, "skewed").otherwise("no text area"))
-    rows = judge(rows.withColumn("early", early))
+    rows = settled(judge(rows.withColumn("early", early)))
     rows = rows.withColumn("mismatches", X.char_mismatches(F.col("value"), F.col("ocr"))).withColumn("template_note", X.template_note(F.col("why"), F.col("template"), F.col("wrong"), F.col("margin")))
     rows = rows.withColumn("checks", X.retry_checks(F.col("ocr"), F.col("ocr2"), F.col("template"), F.col("why"), F.col("conflict"), F.col("filled"), F.col("rerenderable")))
+    rows = settled(rows)
     lost = t["document"].sparkSession.createDataFrame([(f,) for f in missing], "font string")
-    warned = summary.warnings(t["page"], symbols, frames, t["document"], lost)
+    warned = settled(summary.warnings(t["page"], symbols, frames, t["document"], lost))
     out = t["document"].select("doc_id", "expect_total").join(rows.select("doc_id", "verdict"), "doc_id", "left").join(warned.groupBy("doc_id").agg(F.count("*").alias("n_warn")), "doc_id", "left")
     total = summary.summarize(out, ["doc_id"], F.coalesce(F.max("n_warn"), F.lit(0)), F.coalesce(F.max("expect_total"), F.lit(0)) != 0)
     return {"rows": rows.drop("corners", "clip", "clip_right"), "warnings": warned, "summary": total}

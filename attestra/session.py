@@ -32,5 +32,16 @@ def workers_import(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, found) if x)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, so that later steps neither repeat nor plan the work before it.
+
+    A folder of its own on this machine is chosen only where none is configured.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/attestra")
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
