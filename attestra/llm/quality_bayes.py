@@ -24,7 +24,7 @@ MAX_TRAIN = 20_000
 #: Hashed features; the length of word beginnings in bytes; chances of low
 #: quality and of toxicity from which a document is rejected.
 BITS, PREFIX, REJECT = 18, 5, (0.5, 0.2)
-EPOCHS, RATE, BATCH, L2, TELLING = 12, 0.3, 64, 1e-4, 20.0
+EPOCHS, STEPS, RATE, BATCH, L2, TELLING = 12, 1500, 0.3, 64, 1e-4, 20.0
 STYLES = ("upper", "symbols", "bars", "digits", "repeats", "variety", "word_bytes", "words")
 _FAULTS = ("low_quality", "toxic")
 
@@ -98,7 +98,7 @@ def fit(sets: list[np.ndarray], styles: np.ndarray, targets: np.ndarray, seed: i
         x = (styles[known] - middle) / spread
         w, square = np.zeros(size + x.shape[1] + 1), np.full(size + x.shape[1] + 1, 1e-2)
         w[-1] = weights[-1, k]
-        for epoch in range(EPOCHS):
+        for _ in range(max(EPOCHS, STEPS * BATCH // len(own))):
             order = rng.permutation(len(own))
             for a in range(0, len(order), BATCH):
                 part = order[a : a + BATCH]
