@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from attestra import constants as K
 
 #: White space as ECMAScript's \s has it.
-SPACE = r"[\t\n\u000B\f\r    -     　﻿]"
+SPACE = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 _ITEM = T.StructType().add("kind", T.StringType()).add("i", T.IntegerType()).add("bc", T.StringType()).add("ocr", T.StringType())
 MISMATCH_TYPE = T.StructType().add("count", T.IntegerType()).add("items", T.ArrayType(_ITEM)).add("unclear", T.BooleanType()).add("dist", T.IntegerType())
 

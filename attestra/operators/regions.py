@@ -42,24 +42,28 @@ def smallest_container(points: DataFrame, boxes: DataFrame, on: list[str], key:
     return points.join(best, list(dict.fromkeys([*on, *key])), "left").withColumn(label, F.coalesce(F.col(label), F.lit(-1)))
 
 
-def neighbour_clip(items: DataFrame, on: list[str], key: str, width: Column, height: Column) -> DataFrame:
+def neighbour_clip(items: DataFrame, on: list[str], key: str, width: Column | None = None, height: Column | None = None) -> DataFrame:
     """(on, key, left, top, right, bottom): room of each item up to the midlines to its neighbours.
 
     items: on, key, cx, cy. A neighbour further off sideways than up or down bounds the left or right (a neighbour at
-    the same cx the right), others the top or bottom (at the same cy the bottom). width and height bound the rest.
+    the same cx the right), others the top or bottom (at the same cy the bottom). The items' own columns width and height
+    bound the rest, or else the constants given.
     """
     me, other = items.alias("a"), items.select(*on, key, "cx", "cy").alias("b")
     pairs = me.join(other, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [F.col(f"a.{key}") != F.col(f"b.{key}")], "left")
     dx, dy = F.col("b.cx") - F.col("a.cx"), F.col("b.cy") - F.col("a.cy")
     beside = F.abs(dx) > F.abs(dy)
     mx, my = (F.col("b.cx") + F.col("a.cx")) / 2, (F.col("b.cy") + F.col("a.cy")) / 2
+    sized = "width" in items.columns
     room = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in [*on, key]]).agg(
-        F.max(F.when(beside & (dx < 0), mx)).alias("left"), F.max(F.when(~beside & (dy < 0), my)).alias("top"),
-        F.min(F.when(beside & (dx >= 0), mx)).alias("right"), F.min(F.when(~beside & (dy >= 0), my)).alias("bottom"), F.first("a.width").alias("_w") if "width" in items.columns else F.lit(None).alias("_w"),
-        F.first("a.height").alias("_h") if "height" in items.columns else F.lit(None).alias("_h"),
-    )
+        F.max(F.when(beside & (dx < 0), mx)).alias("left"),
+        F.max(F.when(~beside & (dy < 0), my)).alias("top"),
+        F.min(F.when(beside & (dx >= 0), mx)).alias("right"),
+        F.min(F.when(~beside & (dy >= 0), my)).alias("bottom"),
+        *([F.first("a.width").alias("_w"), F.first("a.height").alias("_h")] if sized else []),
+    )
+    w, h = (F.col("_w"), F.col("_h")) if sized else (width, height)
     zero = F.lit(0.0)
-    w, h = (F.col("_w"), F.col("_h")) if "width" in items.columns else (width, height)
     return room.select(*on, key, F.greatest(zero, "left").alias("left"), F.greatest(zero, "top").alias("top"), F.least(w, "right").alias("right"), F.least(h, "bottom").alias("bottom"))
 
 
@@ -71,7 +75,7 @@ def clips(symbols: DataFrame, frames: DataFrame) -> DataFrame:
     next symbol that shares some of its height.
     """
     s = symbols.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
-    room = neighbour_clip(s.select(*PAGE, "seq", "cx", "cy", "width", "height"), PAGE, "seq", F.col("width"), F.col("height"))
+    room = neighbour_clip(s.select(*PAGE, "seq", "cx", "cy", "width", "height"), PAGE, "seq")
     a, b = s.select(*PAGE, "seq", "x1", "y0", "y1").alias("a"), s.select(*PAGE, "seq", "x0", "y0", "y1").alias("b")
     shares = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0") > 0
     ahead = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in PAGE] + [F.col("a.seq") != F.col("b.seq"), F.col("b.x0") >= F.col("a.x1"), shares])

@@ -1,6 +1,6 @@
 """Streams of results: a running summary of documents as their verdicts arrive in files.
 
-The reference works on one file at a time; this is an extension for continuous feeds.
+Documents are verified one file at a time elsewhere; this is an extension for continuous feeds.
 """
 
 from __future__ import annotations
