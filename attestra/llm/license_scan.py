@@ -51,7 +51,7 @@ def word_list(text: Column) -> Column:
     lower() is much faster than a character map. The two characters that it would turn into ASCII letters are
     put out of its way; how other non-ASCII letters are folded makes no difference to an ASCII template.
     """
-    safe = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("")), F.lit("İ"), F.lit(""))
+    safe = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\ue000")), F.lit("\u0130"), F.lit("\ue001"))
     return F.split(F.trim(F.regexp_replace(F.lower(safe), _SEPARATORS, " ")), " ")
 
 
