@@ -66,7 +66,12 @@ def _logits(weights: np.ndarray, owner: np.ndarray, feature: np.ndarray, styles:
 def _telling(sets: list[np.ndarray], bad: np.ndarray) -> np.ndarray:
     """Features whose presence goes with a fault, or against it, beyond chance: G statistic over TELLING, in 3 texts or more."""
     size, n = 1 << BITS, len(sets)
-    counts = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(s for s, y in zip(sets, bad, strict=True) if y == c)]), minlength=size).astype(float) for c in (0, 1)]
+    counts = np.zeros((2, size))
+    for a in range(0, n, 500):  # a few texts at a time, as the driver's memory is small
+        for c in (0, 1):
+            some = [s for s, y in zip(sets[a : a + 500], bad[a : a + 500], strict=True) if y == c]
+            if some:
+                counts[c] += np.bincount(np.concatenate(some), minlength=size)
     total, of = counts[0] + counts[1], np.array([(bad == 0).sum(), (bad == 1).sum()], float)
     g = np.zeros(size)
     for c in (0, 1):
