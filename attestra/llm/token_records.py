@@ -178,6 +178,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int | None, path: str
             f.write(np.array(index, INDEX).tobytes())
         name = f"{base}/part-{shard:06d}"
         for kind in ("idx", "rec"):
+            if system.get_file_info(f"{name}.{kind}").type != fs.FileType.NotFound:  # of an attempt before
+                system.delete_file(f"{name}.{kind}")
             system.move(f"{tried}.{kind}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{path}/part-{shard:06d}"], "first_id": pa.array([first], pa.int64()), "n_records": [len(index)], "n_tokens": [tokens], "n_bytes": [at]})
 
