@@ -352,10 +352,10 @@ def stale_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("p_partkey", "l_orderkey", stale(F.col("l_linenumber"), F.col("p_size")).alias("stale"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = lambda df, key: df.select(F.col(key).alias("doc_id"), F.lit(1).alias("page_no"))
-    return summary.empty_pages(page(table(spark, sf_dir, "customer"), "c_custkey"), page(table(spark, sf_dir, "orders"), "o_custkey")).select(F.col("doc_id").alias("c_custkey"))
+    page = lambda name: table(spark, sf_dir, name).select("doc_id", F.lit(1).alias("page_no"))
+    return summary.empty_pages(page("documents"), page("labels")).select("doc_id")
 
 
 @query()
