@@ -152,20 +152,39 @@ def test_components_against_brute_force(spark, seed, chunk):
     assert got == brute_components(rows)
 
 
-def test_repeats_nulls_and_ambiguous_ids(spark):
+def test_repeats_nulls_and_ids_with_several_texts(spark):
     same = "a b c d e f"
     rows = [(5, same), (5, same), (None, same), (None, None), (7, "p q r s t"), (7, same), (9, same)]
     got = [tuple(r) for r in ngram_join.ngram_components(docs(spark, rows)).collect()]
     assert sorted(g for g in got if g[0] == 5) == [(5, 2, 5)] * 2 and (9, 2, 5) in got and (None, 2, None) in got and (None, 0, None) in got
-    assert len(got) == 7 and ngram_join.ngram_components(docs(spark, [])).count() == 0
+    assert len(got) == 7 and sorted(g for g in got if g[0] == 7) == [(7, 1, 7), (7, 2, 5)] and ngram_join.ngram_components(docs(spark, [])).count() == 0
+    long = " ".join(f"w{i}" for i in range(40))
+    got = sorted(tuple(r) for r in ngram_join.ngram_components(docs(spark, [(7, long), (7, "others are here today too"), (9, long + " more")])).collect())
+    assert got == [(7, 1, 7), (7, 36, 7), (9, 37, 7)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_blocks_whose_members_do_not_all_link(spark, seed):
+    """Groups of documents share rare passages, and only some of a group are near copies."""
+    rng = random.Random(seed)
+    vocabulary, rows = [f"v{i}" for i in range(3000)], []
+    for g in range(4):
+        common = rng.choices(vocabulary, k=60)
+        for i in range(50):
+            own = rng.choice([0, 5, 12, 16, 20, 24])
+            rows.append((100 * g + i, " ".join(common[: 60 - own] + [f"x{g}-{i % 9}-{j}" for j in range(own)])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(spark, rows), chunk=5).collect()}
+    assert got == brute_components(rows)
 
 
 def test_divide_skip_finds_every_partner():
     rng = np.random.default_rng(4)
-    for _ in range(20):
+    for turn in range(30):
         sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
-        search = ngram_join.TOccurrence(np.arange(30), np.array([len(s) for s in sets]), sets, 60)
-        links = search.link_all()
+        parts = rng.integers(0, 12, 30) if turn % 2 else np.arange(30)
+        search = ngram_join.TOccurrence(np.arange(30), np.array([len(s) for s in sets]), sets, 60, parts)
+        asked = rng.random(30) < 0.5 if turn % 3 else None
+        links = search.link_all(None if asked is None else asked[search.keys])
         parent = list(range(30))
 
         def root(i, parent=parent):
@@ -173,15 +192,29 @@ def test_divide_skip_finds_every_partner():
                 i = parent[i]
             return i
 
+        for i in range(30):
+            parent[root(i)] = root(int(np.flatnonzero(parts == parts[i])[0]))
         for a, b in links:
             assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))
+            assert root(a) != root(b) and (asked is None or asked[a])
             parent[root(a)] = root(b)
         for a in range(30):
-            for b in range(a):
-                if 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b])):
+            for b in range(30):
+                if (asked is None or asked[a]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b])):
                     assert root(a) == root(b)
 
 
+def test_merge_leaps_over_lists():
+    lists = [sorted(random.Random(i).sample(range(400), 60)) for i in range(12)]
+    counts = {c: sum(c in x for x in lists) for c in range(400)}
+    for least in (1, 2, 4):
+        for apart in (list(range(400)), list(range(0, 400, 7))):
+            merge, got = ngram_join.MergeSkip([(len(x), 0, x) for x in lists], least, apart), []
+            while (found := merge.next()) is not None:
+                got.append(found)
+            assert got == [(c, n) for c, n in sorted(counts.items()) if n >= least and c in apart]
+
+
 def test_components_of_a_graph(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)] + [(3, 3), (None, 4)]
