@@ -8,11 +8,11 @@ docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import byte_bpe, decontaminate, ngram_join, quality_bayes
-from attestra.llm.common import stored
+from attestra.llm.common import discard, stored
 from attestra.session import table, workers_import
 
 
@@ -24,12 +24,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of the smallest id; of rows that repeat an id, one. Rows without an id stay."""
+    """Of each component of linked documents the one of the smallest id; of rows that repeat an id, that of the first text.
+
+    An id is one document: where one of its rows is a copy of a smaller id's, its rows go. Rows without an id stay.
+    """
     workers_import(spark)
     others = ngram_join.ngram_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rest = docs.join(others, "doc_id", "left_anti").withColumn("_first", first)
-    return rest.where("_first = 1 or doc_id is null").select(docs.columns)
+    rest = docs.where("doc_id is not null").join(others, "doc_id", "left_anti")
+    first = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit("")))
+    return rest.groupBy("doc_id").agg(first.alias("row")).select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
