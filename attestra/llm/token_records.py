@@ -6,11 +6,13 @@ A shard `NAME.rec` is a run of frames
 
 and a payload is `doc_id int64 | flags uint8 | ids`, little-endian throughout. Flag 1: the id is null; flag 2:
 ids are uint32, else uint16 (chosen by the vocabulary's size). `NAME.idx` holds a row INDEX for each record, so
-that a reader fetches records in any order without a scan of the shard. Checksums are CRC-32 as of zlib, rotated
-and offset so that a checksum stored inside checked data doesn't cancel out.
+that a reader fetches records in any order without a scan of the shard, and ends in the number of records, the
+shard's bytes and a masked checksum of all before. Checksums are CRC-32 as of zlib, rotated and offset so that a
+checksum stored inside checked data doesn't cancel out.
 
-Shards are written by tasks to the shared folder under a name of their own for each attempt and then renamed, so
-a repeated task replaces its shard as a whole. Any file system that pyarrow opens by URI will do.
+Tasks write shards to the shared folder under a name of their own for each attempt. The manifest, which Spark commits,
+names one attempt of each shard with its sizes and the checksum of its index; files of other attempts are never
+read. Any file system that pyarrow opens by URI will do.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm.common import scratch_path, stored
 
+MANIFEST = "shard long, path string, first_id long, n_records long, n_tokens long, n_bytes long, index_crc long"
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
 #: Distinct words whose ids a worker keeps, in each of two generations.
 CACHE_WORDS = 300_000
@@ -62,6 +65,38 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, end + 4
 
 
+def index_bytes(rows: list[tuple], n_bytes: int) -> bytes:
+    """An index file: rows INDEX, the number of records, the shard's bytes, and the checksum."""
+    body = np.array(rows, INDEX).tobytes() + len(rows).to_bytes(8, "little") + n_bytes.to_bytes(8, "little")
+    return body + masked(zlib.crc32(body)).to_bytes(4, "little")
+
+
+def read_index(system: fs.FileSystem, name: str) -> tuple[np.ndarray, int, int]:
+    """(rows, bytes of the shard, checksum) of an index file; ValueError if it or the shard's length isn't as written."""
+    with system.open_input_stream(f"{name}.idx") as f:
+        data = f.read()
+    body, crc = data[:-4], int.from_bytes(data[-4:], "little")
+    if len(data) < 20 or masked(zlib.crc32(body)) != crc or (len(body) - 16) % INDEX.itemsize:
+        raise ValueError(f"{name}.idx is broken")
+    index, n_bytes = np.frombuffer(body[:-16], INDEX), int.from_bytes(body[-8:], "little")
+    ends = index["offset"] + index["length"]
+    if len(index) != int.from_bytes(body[-16:-8], "little") or (index["offset"] != np.concatenate([[0], ends[:-1]])[: len(index)]).any():
+        raise ValueError(f"{name}.idx doesn't list a whole shard")
+    if (int(ends[-1]) if len(ends) else 0) != n_bytes or system.get_file_info(f"{name}.rec").size != n_bytes:
+        raise ValueError(f"{name}.rec isn't as long as its index says")
+    return index, n_bytes, crc
+
+
+def record(frame_: bytes, row: np.void, name: str) -> tuple[int | None, np.ndarray]:
+    """(id, token ids) of a record; ValueError if it isn't the one that the row of the index is about."""
+    payload, end = unframe(frame_)
+    flags, doc_id = payload[8], int.from_bytes(payload[:8], "little", signed=True)
+    ids = np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=9)
+    if end != len(frame_) or doc_id != row["doc_id"] or (flags & 1) != row["is_null"] or len(ids) != row["n_tokens"]:
+        raise ValueError(f"{name}: the index doesn't fit")
+    return None if flags & 1 else doc_id, ids
+
+
 class _Words(dict):
     """Ids of words, as bytes; a word that isn't there is encoded, and kept if it is short.
 
@@ -142,14 +177,17 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int | None, path: str
 
     docs: id_col (long) and text_col (string); further columns are ignored. A null text counts as empty and
     yields a record with the end id alone. A null id is kept, flagged, and sorts first; repeated ids are
-    written as often as they occur. No rows: no shard. Texts of any length are encoded whole; one record
-    needs memory in proportion to its text. Manifest: shard, path, first_id, n_records, n_tokens, n_bytes;
-    shards in the order of their number hold ids in ascending order.
+    written as often as they occur, in an order that their texts decide, so the same rows give the same files. No
+    rows: no shard. Texts of any length are encoded whole; one record needs memory in proportion to its text.
+    Ids that many rows share (null, say) are spread over shards by text, and equal rows by where they are read.
+    Manifest: shard, path, first_id, n_records, n_tokens, n_bytes, index_crc; shards in the order of their number
+    hold ids in ascending order.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "records")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.spark_partition_id())
+    rows = rows.repartitionByRange("doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -158,13 +196,13 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int | None, path: str
         tail = np.array([] if end_id is None else [end_id], dtype).tobytes()
         system, base = fs.FileSystem.from_uri(path)
         out, index, at, tokens, first = None, [], 0, 0, None
-        tried = f"{base}/.{shard}-{uuid.uuid4().hex}"
+        name = f"part-{shard:06d}-{uuid.uuid4().hex}"
         for batch in batches:
             ids = batch.column(0)
             for doc_id, data in zip(ids.to_pylist(), encoder(batch.column(1).to_pylist()), strict=True):
                 if out is None:
                     system.create_dir(base, recursive=True)
-                    out, first = system.open_output_stream(f"{tried}.rec"), doc_id
+                    out, first = system.open_output_stream(f"{base}/{name}.rec"), doc_id
                 data += tail
                 n = len(data) // (4 if wide else 2)
                 framed = frame((doc_id or 0).to_bytes(8, "little", signed=True) + bytes([(doc_id is None) + 2 * wide]) + data)
@@ -174,16 +212,13 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int | None, path: str
         if out is None:
             return
         out.close()
-        with system.open_output_stream(f"{tried}.idx") as f:
-            f.write(np.array(index, INDEX).tobytes())
-        name = f"{base}/part-{shard:06d}"
-        for kind in ("idx", "rec"):
-            if system.get_file_info(f"{name}.{kind}").type != fs.FileType.NotFound:  # of an attempt before
-                system.delete_file(f"{name}.{kind}")
-            system.move(f"{tried}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{path}/part-{shard:06d}"], "first_id": pa.array([first], pa.int64()), "n_records": [len(index)], "n_tokens": [tokens], "n_bytes": [at]})
+        listed = index_bytes(index, at)
+        with system.open_output_stream(f"{base}/{name}.idx") as f:
+            f.write(listed)
+        row = (shard, f"{path}/{name}", first, len(index), tokens, at, int.from_bytes(listed[-4:], "little"))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string() if isinstance(x, str) else pa.int64()) for x in row], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    return stored(rows.mapInArrow(write, "shard long, path string, first_id long, n_records long, n_tokens long, n_bytes long"), "manifest")
+    return stored(rows.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_records(manifest: DataFrame, derive: dict[str, tuple[str, Callable]] | None = None) -> DataFrame:
@@ -191,17 +226,18 @@ def read_records(manifest: DataFrame, derive: dict[str, tuple[str, Callable]] |
 
     start counts the ids of all records before, over all shards. ids is array<int>; with derive, a dict of
     column name to (long, int, string, binary or array<int>; function of a numpy array of ids), those columns stand in its place, so that long
-    sequences need not leave the reading task. A broken frame raises ValueError.
+    sequences need not leave the reading task. A broken frame raises ValueError, and so does an index or a shard that
+    isn't the one that the manifest tells of, by numbers of records, tokens and bytes and by checksum.
     """
     spark = manifest.sparkSession
     spec = derive or {"ids": ("array<int>", lambda x: x.astype("<i4"))}
     # One row per shard, whose number is that of the write tasks; the running sum needs them in one order.
-    totals = sorted((r["shard"], r["path"], r["n_tokens"]) for r in manifest.select("shard", "path", "n_tokens").toLocalIterator())
+    totals = sorted(tuple(r) for r in manifest.select("shard", "path", "n_tokens", "n_records", "n_bytes", "index_crc").toLocalIterator())
     starts, at = [], 0
-    for shard, path, n in totals:
-        starts.append((shard, path, at))
-        at += n
-    shards = spark.createDataFrame(starts, "shard long, path string, start long")
+    for r in totals:
+        starts.append((*r, at))
+        at += r[2]
+    shards = spark.createDataFrame(starts, "shard long, path string, n_tokens long, n_records long, n_bytes long, index_crc long, start long")
     if starts:
         shards = shards.repartition(len(starts))
     schema = "shard long, doc_id long, start long, n_tokens long, " + ", ".join(f"{k} {t}" for k, (t, _) in spec.items())
@@ -209,21 +245,18 @@ def read_records(manifest: DataFrame, derive: dict[str, tuple[str, Callable]] |
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
         for batch in batches:
-            for shard, path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, path, n_tokens, n_records, n_bytes, index_crc, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system, name = fs.FileSystem.from_uri(path)
-                with system.open_input_stream(f"{name}.idx") as f:
-                    index = np.frombuffer(f.read(), INDEX)
+                index, *told = read_index(system, name)
+                if [len(index), int(index["n_tokens"].sum()), *told] != [n_records, n_tokens, n_bytes, index_crc]:
+                    raise ValueError(f"{name} isn't the shard that the manifest tells of")
                 with system.open_input_stream(f"{name}.rec") as f:
                     for a in range(0, len(index), 500):
-                        part = index[a : a + 500]
                         rows = {k: [] for k in ("shard", "doc_id", "start", "n_tokens", *spec)}
-                        for r in part:
-                            payload, _ = unframe(f.read(int(r["length"])))
-                            ids = np.frombuffer(payload, "<u4" if payload[8] & 2 else "<u2", offset=9)
-                            if len(ids) != r["n_tokens"]:
-                                raise ValueError(f"{name}: the index doesn't fit")
+                        for r in index[a : a + 500]:
+                            doc_id, ids = record(f.read(int(r["length"])), r, name)
                             rows["shard"].append(shard)
-                            rows["doc_id"].append(None if payload[8] & 1 else int.from_bytes(payload[:8], "little", signed=True))
+                            rows["doc_id"].append(doc_id)
                             rows["start"].append(start)
                             rows["n_tokens"].append(len(ids))
                             for k, (_, fn) in spec.items():
@@ -239,8 +272,7 @@ class ShuffledReader:
 
     def __init__(self, path: str):
         self.system, self.name = fs.FileSystem.from_uri(path)
-        with self.system.open_input_stream(f"{self.name}.idx") as f:
-            self.index = np.frombuffer(f.read(), INDEX)
+        self.index, _, _ = read_index(self.system, self.name)
         self.file = self.system.open_input_file(f"{self.name}.rec")
 
     def __len__(self) -> int:
@@ -249,8 +281,7 @@ class ShuffledReader:
     def __getitem__(self, i: int) -> tuple[int | None, np.ndarray]:
         r = self.index[i]
         self.file.seek(int(r["offset"]))
-        payload, _ = unframe(self.file.read(int(r["length"])))
-        return None if payload[8] & 1 else int.from_bytes(payload[:8], "little", signed=True), np.frombuffer(payload, "<u4" if payload[8] & 2 else "<u2", offset=9)
+        return record(self.file.read(int(r["length"])), r, self.name)
 
     def shuffled(self, seed: int) -> Iterator[tuple[int | None, np.ndarray]]:
         for i in np.random.default_rng(seed).permutation(len(self)):
