@@ -1,14 +1,17 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one for each shard of a label.
 
-Equal directions are one class first, so copies cost nothing. A label's classes are dealt into shards of at most
-SHARD vectors; each shard builds its graph (Malkov and Yashunin 2018), and every class of the label queries every
-shard of it, in blocks of queries. A query is a range search: its beam widens until the farthest vector in it lies
-below the threshold. Beyond that, each task audits its answers against brute force for a sample of its queries, and
-doubles the beam until the audit finds every link. Candidates are verified in double precision.
+Equal directions are one class first, so copies cost nothing. A label's classes are dealt into shards of about SHARD
+vectors; each shard's graph (Malkov and Yashunin 2018) is built once and stored, and every class of the label queries
+every shard of it, in blocks of queries. Each task first audits a beam against brute force on a sample of its queries,
+by the links that they have with others, and doubles it until the audit finds every one. A query is then a range
+search: its own beam widens on until the farthest vector in it lies below the threshold. Candidates near the
+threshold are verified in double precision. Links are counted and merged as they are found, not kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +20,11 @@ from pyspark.sql import functions as F
 from attestra.llm.common import connected_components, stored
 
 COSINE = 0.98
-SHARD, QUERIES = 2048, 8192
+SHARD, QUERIES = 4096, 8192
 #: Neighbours of a vector in a layer, beam while building, first beam of a query, queries audited in a task.
-M, BUILD_BEAM, BEAM, AUDIT = 12, 32, 32, 64
+M, BUILD_BEAM, BEAM, AUDIT = 12, 32, 32, 256
+#: How far single precision may be off; partitions of the search at most.
+SLACK, PARTITIONS = 1e-5, 100_000
 
 
 def _top(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -175,45 +180,102 @@ class Graph:
             live = live[open_[live].any(1)]
         return ids, score
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) pairs found at a score of `least` or more; the beam of a query that it fills is doubled."""
+    def within(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, member, score) of pairs found at a score of `least` or more, for some queries at a time.
+
+        The beam of a query that it fills is doubled. One of half the members or more reads them all.
+        """
         q = q.astype(np.float32)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        todo = np.arange(len(q))
-        near = self.near[0]
+        todo, near, n = np.arange(len(q)), self.near[0], len(self.x)
         while len(todo):
-            full = []
-            for a in range(0, len(todo), 512):
-                part = todo[a : a + 512]
+            full, rows = [todo[:0]], max(16, min(512, (1 << 15) // beam))
+            for a in range(0, len(todo), rows):
+                part = todo[a : a + rows]
+                if 2 * beam >= n:
+                    score = q[part] @ self.x.T
+                    r, c = np.nonzero(score >= least)
+                    yield part[r], self.names[c], score[r, c]
+                    continue
                 ids, score = self._beam(q[part], near, self._enter(q[part], 0, len(near)), beam)
-                wide = (score[:, -1] >= least) & (ids.shape[1] < len(near))
+                wide = score[:, -1] >= least
                 full.append(part[wide])
                 r, c = np.nonzero((score >= least) & ~wide[:, None])
-                out.append((part[r], self.names[ids[r, c]]))
+                yield part[r], self.names[ids[r, c]], score[r, c]
             todo, beam = np.concatenate(full), 2 * beam
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
+    def pack(self) -> dict[str, bytes]:
+        """The graph as bytes, for unpack()."""
+        widths = np.array([[len(x), x.shape[1]] for x in self.near], np.int32)
+        return {"sizes": widths.tobytes(), "x": self.x.tobytes(), "names": self.names.astype(np.int32).tobytes(), "near": b"".join(x.astype(np.int32).tobytes() for x in self.near)}
 
-def search(vectors: np.ndarray, queries: np.ndarray, least: float, audit: int = AUDIT, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, dict]:
-    """(query, vector) pairs of cosine >= least, and what the audits saw. All rows are unit vectors in double precision."""
-    graph = Graph(vectors)
-    sample = np.random.default_rng(7).permutation(len(queries))[:audit]
+    @classmethod
+    def unpack(cls, sizes: bytes, x: bytes, names: bytes, near: bytes) -> Graph:
+        self = cls.__new__(cls)
+        widths, self.names, at = np.frombuffer(sizes, np.int32).reshape(-1, 2), np.frombuffer(names, np.int32), 0
+        self.x, self.counts, self.near = np.frombuffer(x, np.float32).reshape(len(self.names), -1), widths[:, 0].tolist(), []
+        flat = np.frombuffer(near, np.int32)
+        for n, w in widths.tolist():
+            self.near.append(flat[at : at + n * w].reshape(n, w))
+            at += n * w
+        return self
+
+
+def _pairs(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, vector) pairs of cosine >= least, for some queries at a time; those near it are computed again in double precision."""
+    for a, b, score in graph.within(queries, least - SLACK, beam):
+        near = np.flatnonzero(score < least + SLACK)
+        good = np.ones(len(a), bool)
+        for s in range(0, len(near), 1 << 16):
+            i = near[s : s + (1 << 16)]
+            good[i] = np.einsum("nd,nd->n", queries[a[i]], vectors[b[i]]) >= least
+        yield a[good], b[good]
+
+
+def audited(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None, audit: int = AUDIT, beam: int = BEAM) -> dict:
+    """The beam at which a sample of queries finds all its links, and what the audits saw.
+
+    own: of each query, the vector that is itself, or -1; that isn't a link. wanted counts the sample's links by brute
+    force, recall is the share of them that each beam tried found; without links there is none, and the beam stays.
+    """
+    sample = np.sort(np.random.default_rng(7).permutation(len(queries))[:audit])
     q, v = np.nonzero(queries[sample] @ vectors.T >= least)
-    wanted = set(zip(sample[q].tolist(), v.tolist(), strict=True))
-    report = {"beam": beam, "audited": len(sample), "first_recall": None}
-    while True:
-        # The graph works in single precision: take a little more than is asked for, then verify.
-        a, b = graph.within(queries, least - 1e-5, report["beam"])
-        exact = np.empty(len(a))
-        for s in range(0, len(a), 1 << 16):
-            exact[s : s + (1 << 16)] = np.einsum("nd,nd->n", queries[a[s : s + (1 << 16)]], vectors[b[s : s + (1 << 16)]])
-        a, b = a[exact >= least], b[exact >= least]
-        at = np.isin(a, sample)
-        recall = len(wanted & set(zip(a[at].tolist(), b[at].tolist(), strict=True))) / max(1, len(wanted))
-        report["first_recall"] = recall if wanted and report["first_recall"] is None else report["first_recall"]
-        if not wanted or recall >= 1 or report["beam"] >= len(vectors):
-            return a, b, report
+    own = np.full(len(queries), -1) if own is None else own
+    other = own[sample[q]] != v
+    wanted = (q[other] * len(vectors) + v[other]).astype(np.int64)
+    report = {"beam": beam, "audited": len(sample), "wanted": len(wanted), "recall": []}
+    while len(wanted):
+        found = [a.astype(np.int64) * len(vectors) + b for a, b in _pairs(graph, vectors, queries[sample], least, report["beam"])]
+        report["recall"].append(float(np.isin(wanted, np.concatenate(found)).mean()))
+        if report["recall"][-1] == 1 or report["beam"] >= len(vectors):
+            break
         report["beam"] *= 2
+    return report
+
+
+def search(vectors: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None, audit: int = AUDIT, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, dict]:
+    """(query, vector) pairs of cosine >= least, and the audits' report. All rows are unit vectors in double precision."""
+    graph = Graph(vectors)
+    report = audited(graph, vectors, queries, least, own, audit, beam)
+    found = list(_pairs(graph, vectors, queries, least, report["beam"]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]), report
+
+
+class _Merged:
+    """Components of nodes, from pairs that arrive in blocks."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.label[a], self.label[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
+            while (self.label[self.label] != self.label).any():
+                self.label = self.label[self.label]
 
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHARD, queries: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -226,7 +288,15 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
     Further columns are ignored; an empty table gives no rows.
 
     Rows of one direction are gathered by an aggregate that is combined before the shuffle. Queries of a label
-    are dealt in blocks to each of its shards, so the largest task holds one shard and one block.
+    are dealt in blocks to each of its shards, so the largest task holds one shard's graph and one block.
+    """
+    return with_audits(vectors, least, shard, queries, id_col, vector_col, label_col)[0]
+
+
+def with_audits(vectors: DataFrame, least: float = COSINE, shard: int = SHARD, queries: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+    """near_duplicates(), and one row for each search task: (task, beam, audited, wanted, recall array<double>).
+
+    recall has the share of the sample's links with others that each beam tried has found, the last one kept.
     """
     x = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -243,57 +313,76 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
     counts = stored(counts.select("label", "width", F.ceil(F.col("n") / shard).cast("int").alias("shards"), F.ceil(F.col("n") / queries).cast("int").alias("blocks")), "counts")
     dealt = classes.join(counts, ["label", "width"]).withColumn("shard", F.pmod(F.col("hash"), F.col("shards"))).withColumn("block", F.pmod(F.shiftright("hash", 20), F.col("blocks")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = dealt.withColumn("shard", every("shards")).withColumn("asks", F.lit(True))
-    there = dealt.withColumn("block", every("blocks")).withColumn("asks", F.lit(False))
-    task = F.concat_ws(",", "label", F.col("width").cast("string"), F.col("shard").cast("string"), F.col("block").cast("string"))
-    tasks = asked.unionByName(there).select(task.alias("task"), "key", "v", "id", "members", "asks")
-
-    def run(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        v = np.stack([row.as_py() for row in t.column("v")])
-        ids, members, keys = t.column("id").to_numpy(zero_copy_only=False), t.column("members").to_numpy(), np.asarray(t.column("key"))
-        a, b, _ = search(v[~asks], v[asks], least)
-        src, dst = np.flatnonzero(asks)[a], np.flatnonzero(~asks)[b]
-        keep = keys[src] != keys[dst]
-        src, dst = src[keep], dst[keep]
-        name, back = np.unique(src, return_inverse=True)
-        links = np.bincount(back, weights=members[dst], minlength=len(name)).astype(np.int64)
-        return _spanning(keys, ids, name, links, src, dst)
-
-    # Few bytes but much work in each task: as many partitions as tasks, which are in proportion to the vectors.
-    n = counts.agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0] or 1
-    tasks = tasks.repartition(int(n), "task")
-    found = stored(tasks.groupBy("task").applyInArrow(run, "key string, links long, src long, dst long"), "links")
+    name = lambda *last: F.concat_ws(",", "label", F.col("width").cast("string"), *(F.col(c).cast("string") for c in last))
+    work = counts.agg(F.sum(F.col("shards").cast("long")).alias("graphs"), F.sum(F.col("shards").cast("long") * F.col("blocks")).alias("tasks")).first()
+
+    def build(t: pa.Table) -> pa.Table:
+        v = _matrix(t.column("v"))
+        of = {"graph": t.column("graph")[0].as_py(), "blocks": t.column("blocks")[0].as_py(), **Graph(v).pack(), "v": v.tobytes()}
+        of |= {"keys": t.column("key").to_pylist(), "ids": t.column("id").to_pylist(), "members": t.column("members").to_pylist()}
+        return pa.table({k: pa.array([of[k]], kind) for k, kind in _GRAPH.items()})
+
+    # Few bytes but much work in each task: as many partitions as graphs or tasks, which grow with the vectors.
+    graphs = dealt.select(name("shard").alias("graph"), "blocks", "key", "v", "id", "members").repartition(min(PARTITIONS, work["graphs"] or 1), "graph")
+    graphs = stored(graphs.groupBy("graph").applyInArrow(build, "graph string, blocks int, sizes binary, x binary, names binary, near binary, v binary, keys array<string>, ids array<long>, members array<long>"), "graphs")
+    n = min(PARTITIONS, work["tasks"] or 1)
+    graphs = graphs.withColumn("block", every("blocks")).withColumn("task", F.concat_ws(",", "graph", F.col("block").cast("string"))).repartition(n, "task")
+    asked = dealt.withColumn("shard", every("shards")).select(name("shard", "block").alias("task"), "key", "v", "id").repartition(n, "task")
+
+    def run(asks: pa.Table, graph: pa.Table) -> pa.Table:
+        if not len(asks) or not len(graph):
+            return _answer()
+        g = {k: graph.column(k)[0] for k in _GRAPH}
+        q = _matrix(asks.column("v"))
+        v = np.frombuffer(g["v"].as_buffer()).reshape(-1, q.shape[1])
+        made = Graph.unpack(*(g[k].as_buffer() for k in ("sizes", "x", "names", "near")))
+        number = {k: i for i, k in enumerate(g["keys"].as_py())}
+        own = np.array([number.get(k, -1) for k in asks.column("key").to_pylist()])
+        members, links, merged = np.asarray(g["members"].values), np.zeros(len(q)), _Merged(len(v) + len(q))
+        report = audited(made, v, q, least, own)
+        for a, b in _pairs(made, v, q, least, report["beam"]):
+            other = own[a] != b
+            links += np.bincount(a[other], weights=members[b[other]], minlength=len(q))
+            merged.add(a + len(v), b)
+        ids = np.concatenate([np.array([np.nan if i is None else i for i in g["ids"].as_py()], object), np.array(asks.column("id").to_pylist(), object)])
+        return _answer(asks.column("key"), links.astype(np.int64), ids, merged.label, asks.column("task")[0].as_py(), report)
+
+    found = asked.groupBy("task").cogroup(graphs.groupBy("task")).applyInArrow(run, "key string, links long, src long, dst long, task string, beam int, audited int, wanted long, recall array<double>")
+    found = stored(found, "links")
+    audits = found.where("task is not null").select("task", "beam", "audited", "wanted", "recall")
+    found = found.where("task is null")
     merged = connected_components(found.where("src is not null").select("src", "dst"))
     linked = found.groupBy("key").agg(F.sum("links").alias("links"))
     out = classes.select("key", "id", "members").join(linked, "key", "left").join(merged.select(F.col("id").alias("id"), "component_id"), "id", "left")
     out = out.select("key", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     out = rows.select("vec_id", "key").join(out, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def _spanning(keys: np.ndarray, ids: np.ndarray, name: np.ndarray, links: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pa.Table:
-    """Link counts of the queries, and pairs of ids that connect what all pairs connect."""
-    parent: dict[int, int] = {}
-
-    def root(i: int) -> int:
-        while parent.setdefault(i, i) != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    pairs = []
-    for a, b in zip(ids[src].tolist(), ids[dst].tolist(), strict=True):
-        if a is not None and b is not None and a == a and b == b and (x := root(int(a))) != (y := root(int(b))):
-            parent[x] = y
-            pairs.append((int(a), int(b)))
-    n, m = len(name), len(pairs)
-    return pa.table(
-        {
-            "key": pa.array([*keys[name].tolist(), *[None] * m], pa.string()),
-            "links": pa.array([*links.tolist(), *[None] * m], pa.int64()),
-            "src": pa.array([*[None] * n, *(a for a, _ in pairs)], pa.int64()),
-            "dst": pa.array([*[None] * n, *(b for _, b in pairs)], pa.int64()),
-        }
-    )
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), audits
+
+
+_GRAPH = {
+    "graph": pa.string(), "blocks": pa.int32(), "sizes": pa.binary(), "x": pa.binary(), "names": pa.binary(), "near": pa.binary(), "v": pa.binary(),
+    "keys": pa.list_(pa.string()), "ids": pa.list_(pa.int64()), "members": pa.list_(pa.int64()),
+}
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, float).reshape(len(column), -1)
+
+
+def _answer(keys: pa.ChunkedArray | None = None, links: np.ndarray | None = None, ids: np.ndarray | None = None, label: np.ndarray | None = None, task: str | None = None, report: dict | None = None) -> pa.Table:
+    """Link counts of the queries, pairs of ids that connect what the links connect, and the audits' report."""
+    kinds = {"key": pa.string(), "links": pa.int64(), "src": pa.int64(), "dst": pa.int64(), "task": pa.string(), "beam": pa.int32(), "audited": pa.int32(), "wanted": pa.int64(), "recall": pa.list_(pa.float64())}
+    if keys is None:
+        return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+    rows = [{"key": k, "links": n} for k, n in zip(keys.to_pylist(), links.tolist(), strict=True) if n]
+    at = np.flatnonzero(label != np.arange(len(label)))
+    known = lambda i: None if ids[i] is None or ids[i] != ids[i] else int(ids[i])
+    heads: dict[int, int] = {}
+    for i in range(len(label)):  # the first member with an id stands for its component
+        if label[i] not in heads and known(i) is not None:
+            heads[label[i]] = known(i)
+    rows += [{"src": known(i), "dst": heads[label[i]]} for i in [*at.tolist(), *np.unique(label[at]).tolist()] if known(i) is not None and known(i) != heads[label[i]]]
+    rows.append({"task": task, "beam": report["beam"], "audited": report["audited"], "wanted": report["wanted"], "recall": report["recall"]})
+    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()})
