@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from attestra.llm.common import stored
 from attestra.llm.word_hash import ALNUM, blocks, prefixes, words
 
-#: Labelled documents that the classifier is fitted on at most, chosen by a hash of their id.
-MAX_TRAIN = 20_000
+#: Labelled documents that the classifier is fitted on at most, chosen by a hash of their id, and hashed features that it
+#: uses of each fault at most, the most telling ones. Together they bound what reaches the driver: two bytes for each
+#: feature of a document that is one of these.
+MAX_TRAIN, MAX_FEATURES = 20_000, 2048
 #: Hashed features; the length of word beginnings in bytes; chances of low
 #: quality and of toxicity from which a document is rejected.
 BITS, PREFIX, REJECT = 18, 5, (0.5, 0.2)
 EPOCHS, STEPS, RATE, BATCH, L2, TELLING = 12, 1500, 0.3, 64, 1e-4, 20.0
 STYLES = ("upper", "symbols", "bars", "digits", "repeats", "variety", "word_bytes", "words")
 _FAULTS = ("low_quality", "toxic")
+_TALLY = ("low_0", "low_1", "bad_0", "bad_1")
 
 
 def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -63,30 +66,24 @@ def _logits(weights: np.ndarray, owner: np.ndarray, feature: np.ndarray, styles:
     return out
 
 
-def _telling(sets: list[np.ndarray], bad: np.ndarray) -> np.ndarray:
-    """Features whose presence goes with a fault, or against it, beyond chance: G statistic over TELLING, in 3 texts or more."""
-    size, n = 1 << BITS, len(sets)
-    counts = np.zeros((2, size))
-    for a in range(0, n, 500):  # a few texts at a time, as the driver's memory is small
-        for c in (0, 1):
-            some = [s for s, y in zip(sets[a : a + 500], bad[a : a + 500], strict=True) if y == c]
-            if some:
-                counts[c] += np.bincount(np.concatenate(some), minlength=size)
-    total, of = counts[0] + counts[1], np.array([(bad == 0).sum(), (bad == 1).sum()], float)
-    g = np.zeros(size)
+def _telling(counts: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
+    """Features whose presence goes with a fault, or against it, beyond chance: G statistic over TELLING, in 3 texts or
+    more, the `most` highest. counts: texts with each feature, without and with the fault; of: all such texts."""
+    total, n, g = counts.sum(0), of.sum(), np.zeros(counts.shape[1])
     for c in (0, 1):
         for seen, all_ in ((counts[c], total), (of[c] - counts[c], n - total)):
             expected = np.maximum(all_ * of[c] / max(n, 1), 1e-12)
             g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / expected), 0)
-    return (g > TELLING) & (total >= 3)
+    found = np.flatnonzero((g > TELLING) & (total >= 3))
+    return np.sort(found[np.argsort(-g[found], kind="stable")[:most]])
 
 
-def fit(sets: list[np.ndarray], styles: np.ndarray, targets: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Weights of telling features, of styles and of the bias, by adaptive gradients; a column for each fault.
+def fit(sets: list[np.ndarray], styles: np.ndarray, targets: np.ndarray, telling: list[np.ndarray], size: int, seed: int = 5) -> np.ndarray:
+    """Weights of features (numbered below size), of styles and of the bias, by adaptive gradients; a column for each fault.
 
-    targets may hold nan where a label is missing. A fault without both classes gets no weight but its prior.
+    targets may hold nan where a label is missing; telling has the features that a fault may use. A fault without both
+    classes gets no weight but its prior.
     """
-    size = 1 << BITS
     weights = np.zeros((size + styles.shape[1] + 1, targets.shape[1]))
     rng = np.random.default_rng(seed)
     for k in range(targets.shape[1]):
@@ -96,9 +93,9 @@ def fit(sets: list[np.ndarray], styles: np.ndarray, targets: np.ndarray, seed: i
         weights[-1, k] = np.log((share + 1e-4) / (1 - share + 1e-4))
         if not 0 < share < 1:
             continue
-        own = [sets[i] for i in known]
-        telling = _telling(own, y)
-        own = [s[telling[s]] for s in own]
+        use = np.zeros(size, bool)
+        use[telling[k]] = True
+        own = [sets[i][use[sets[i]]] for i in known]
         middle, spread = styles[known].mean(0), styles[known].std(0) + 1e-6
         x = (styles[known] - middle) / spread
         w, square = np.zeros(size + x.shape[1] + 1), np.full(size + x.shape[1] + 1, 1e-2)
@@ -129,8 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     """Weights fitted on at most max_train labelled documents, those of the smallest hashes of their ids.
 
     labels: doc_id, quality (0: low) and toxic (1: toxic). Of several labels of an id the worst counts, and nulls
-    don't. Only ids are chosen on the way; the chosen documents' features, no texts, reach the driver.
+    don't; of several texts of an id one counts. Features are counted where the texts are. What reaches the driver is
+    one row of counts for each of the 2**BITS features, and then of each document the numbers of its telling features.
     """
+    spark = docs.sparkSession
     l = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("double").alias("low"), F.max("toxic").cast("double").alias("bad"))
     l = l.where("low is not null or bad is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # At most max_train ids: a bound that holds at any size of the input.
@@ -151,12 +150,44 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
                     }
                 )
 
-    got = chosen.mapInArrow(run, "doc_id long, low double, bad double, features binary, styles binary").dropDuplicates(["doc_id"]).toArrow()
+    got = chosen.mapInArrow(run, "doc_id long, low double, bad double, features binary, styles binary")
+    got = stored(got.groupBy("doc_id").agg(F.min(F.struct("features", "styles", "low", "bad")).alias("x")).select("doc_id", "x.*"), "features")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(0)]
+            flat, size = np.concatenate([np.zeros(0, np.int32), *sets]), 1 << BITS
+            n = np.array([len(x) for x in sets])
+            out = [np.bincount(flat[np.repeat(np.asarray(batch.column(k)) == c, n)], minlength=size) for k in (1, 2) for c in (0, 1)]
+            some = np.flatnonzero(np.bincount(flat, minlength=size))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in out)], names=["feature", *_TALLY])
+
+    classes = [F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c in ("low", "bad") for v in (0, 1)]
+    of = np.array(got.agg(*classes).first(), float).reshape(2, 2)
+    rows = got.select("features", F.coalesce("low", F.lit(-1.0)).alias("low"), F.coalesce("bad", F.lit(-1.0)).alias("bad")).mapInArrow(tally, "feature long, " + ", ".join(f"{c} long" for c in _TALLY))
+    rows = rows.groupBy("feature").agg(*(F.sum(c).alias(c) for c in _TALLY)).toArrow()  # at most 2**BITS rows
+    counts = np.zeros((4, 1 << BITS))
+    counts[:, rows.column("feature").to_numpy()] = [rows.column(c).to_numpy() for c in _TALLY]
+    chosen_by = [_telling(counts[2 * k : 2 * k + 2], of[k], MAX_FEATURES) for k in (0, 1)]
+    names = np.unique(np.concatenate(chosen_by))
+    sent = spark.sparkContext.broadcast(names)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << BITS, -1, np.int32)
+        number[sent.value] = np.arange(len(sent.value))
+        for batch in batches:
+            sets = [number[np.frombuffer(x.as_buffer(), np.int32)] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0].astype("<u2").tobytes() for x in sets], pa.binary()), *batch.columns[2:]], names=["doc_id", "features", "styles", "low", "bad"])
+
+    got = got.mapInArrow(narrow, "doc_id long, features binary, styles binary, low double, bad double").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    sets = [np.frombuffer(got.column("features")[i].as_buffer(), np.int32) for i in order.tolist()]
+    sets = [np.frombuffer(got.column("features")[i].as_buffer(), "<u2") for i in order.tolist()]
     styles = np.array([np.frombuffer(got.column("styles")[i].as_buffer()) for i in order.tolist()]).reshape(len(sets), len(STYLES))
     targets = np.stack([got.column(c).to_numpy(zero_copy_only=False)[order].astype(float) for c in ("low", "bad")], axis=1)
-    return fit(sets, styles, targets)
+    compact = fit(sets, styles, targets, [np.searchsorted(names, x) for x in chosen_by], len(names))
+    weights = np.zeros(((1 << BITS) + len(STYLES) + 1, len(_FAULTS)))
+    weights[names], weights[1 << BITS :] = compact[: len(names)], compact[len(names) :]
+    return weights
 
 
 def document_odds(docs: DataFrame, weights: np.ndarray, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
