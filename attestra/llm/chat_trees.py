@@ -16,6 +16,8 @@ from attestra.llm.common import stored
 #: Marks of a turn, and the escapes that keep them out of roles and texts; a backslash in a text is escaped too.
 OPEN, MIDDLE, CLOSE = "### ", ":\n", "</turn>\n"
 ESCAPES = {"\\": "\\b", "#": "\\h", "<": "\\l", ":": "\\c"}
+#: Doublings after which the largest tree is counted, so as to know a cycle of parents from a long path.
+LONG = 7
 
 
 def escape(text: Column) -> Column:
@@ -30,33 +32,38 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def best_paths(messages: DataFrame, per_tree: int | None = 1, max_rounds: int = 40) -> DataFrame:
+def best_paths(messages: DataFrame, per_tree: int | None = 1, unique: bool = False) -> DataFrame:
     """(tree_id, path, mean_score, msg_id, depth): the messages of the per_tree best root-to-leaf paths of each tree.
 
-    messages: tree_id, msg_id (unique in its tree), parent_id (null at a root), score (double). A parent that
-    doesn't exist makes its child a root. Null scores count as 0; equal mean scores are decided by the longer
-    path, then the smaller leaf id. per_tree None keeps every path. A tree may have several roots. A cycle of
-    parents has no root or leaf and raises ValueError.
+    messages: tree_id, msg_id, parent_id (null at a root), score (double). Of rows that repeat a message's ids the
+    smallest parent counts (null first), then the smallest score; unique says that there are none. Messages without
+    msg_id have no place in a tree and are left out. A parent that doesn't exist makes its child a root; of parents
+    that form a cycle the smallest msg_id is a root. Null scores count as 0; equal mean scores are decided by the
+    longer path, then the smaller leaf id. per_tree None keeps every path. A tree may have several roots.
     """
-    m = messages.select("tree_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    m = messages.where("msg_id is not null").select("tree_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    if not unique:
+        m = m.groupBy("tree_id", "msg_id").agg(F.min(F.struct("parent_id", "score")).alias("m")).select("tree_id", "msg_id", "m.*")
     known = m.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("p"))
     m = m.join(known, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p")), "left")
-    columns = ["tree_id", "msg_id", "parent_id", "up", "score", "n"]
-    at = stored(m.withColumn("up", F.col("p")).withColumn("n", F.lit(1)).select(columns), "tree")
-    # Round r: up is the ancestor 2**r above; score and n cover the message and those below that ancestor. Messages
-    # whose stretch reaches a root are done and only looked up from then on.
+    columns = ["tree_id", "msg_id", "parent_id", "up", "score", "n", "low"]
+    at = stored(m.withColumn("up", F.col("p")).withColumn("n", F.lit(1).cast("long")).withColumn("low", F.col("msg_id")).select(columns), "tree")
+    whole, largest = at, None
+    # Round r: up is the ancestor 2**r above; score, n and low (the least id) cover the message and those below that
+    # ancestor. Messages whose stretch reaches a root are done and only looked up from then on.
     done, open_, jumps = at.where("up is null"), at.where("up is not null"), []
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
+        if len(jumps) >= LONG and largest is None:
+            largest = whole.groupBy("tree_id").count().agg(F.max("count")).first()[0]
+        if largest is not None and 1 << len(jumps) > largest:
+            return best_paths(_cut(whole, open_), per_tree, unique=True)
         jumps.append(open_.select("tree_id", "msg_id", "up"))
         a, b = open_.alias("a"), done.union(open_).alias("b")
         on = F.col("a.tree_id").eqNullSafe(F.col("b.tree_id")) & (F.col("a.up") == F.col("b.msg_id"))
-        at = a.join(b, on).select("a.tree_id", "a.msg_id", "a.parent_id", "b.up", (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.n") + F.col("b.n")).alias("n"))
+        both = lambda c: (F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c)
+        at = a.join(b, on).select("a.tree_id", "a.msg_id", "a.parent_id", "b.up", both("score"), both("n"), F.least("a.low", "b.low").alias("low"))
         at = stored(at, "tree")
         done, open_ = done.union(at.where("up is null")), at.where("up is not null")
-    else:
-        raise ValueError("the parents of some messages form a cycle")
     parents = done.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).where("p is not null").distinct()
     leaves = done.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("p")), "left_anti")
     leaves = leaves.withColumn("mean_score", F.col("score") / F.col("n"))
@@ -74,15 +81,31 @@ def best_paths(messages: DataFrame, per_tree: int | None = 1, max_rounds: int =
     return on_path
 
 
-def format_paths(messages: DataFrame, paths: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def _cut(tree: DataFrame, lost: DataFrame) -> DataFrame:
+    """Messages of tree, without the parent of the smallest message of each cycle.
+
+    lost: messages that reach no root, after so many doublings that a stretch is longer than any tree. Their `up` then
+    are the members of cycles, and a member's stretch has its whole cycle and nothing else.
+    """
+    on_cycle = lost.select("tree_id", F.col("up").alias("msg_id")).distinct().alias("c")
+    m = lost.alias("m").join(on_cycle, F.col("m.tree_id").eqNullSafe(F.col("c.tree_id")) & (F.col("m.msg_id") == F.col("c.msg_id")), "left_semi")
+    roots = stored(m.where("msg_id = low").select(F.col("tree_id").alias("t"), F.col("msg_id").alias("i")), "roots")
+    out = tree.join(roots, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("i")), "left")
+    return out.select("tree_id", "msg_id", F.when(F.col("i").isNull(), F.col("parent_id")).alias("parent_id"), "score")
+
+
+def format_paths(messages: DataFrame, paths: DataFrame, trained: tuple[str, ...] = ("assistant",), unique: bool = False) -> DataFrame:
     """One conversation for each path: (tree_id, path, n_turns, formatted, loss array<struct<start, length>>).
 
     messages: tree_id, msg_id, role, text. A turn reads `### ROLE:`, a line break, the text and `</turn>` with
-    a line break; roles and texts are escaped, null ones are empty. loss lists the code points of the formatted
+    a line break; roles and texts are escaped, null ones are empty. Of rows that repeat a message's ids the smallest role,
+    then the smallest text counts; unique says that there are none. loss lists the code points of the formatted
     string that hold the (escaped) text of a trained role, in order. Offsets are running sums over turns, so a
     long conversation costs no more than its length.
     """
     m = messages.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("i"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if not unique:
+        m = m.groupBy("t", "i").agg(F.min(F.struct("role", "text")).alias("m")).select("t", "i", "m.*")
     turns = paths.join(m, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("i")))
     turns = turns.select("tree_id", "path", "depth", F.col("role").isin(*trained).alias("on"), F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE)).alias("head"), escape(F.col("text")).alias("body"))
     w = Window.partitionBy("tree_id", "path").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
