@@ -7,24 +7,31 @@ to both sides while words agree, and a run is a hit if it holds a whole window o
 
 Items shorter than that window are one window each: for each such length m, all m-word grams of a document are
 joined with the items of that length (k = m, w = 1), which is winnowing's own limit case.
+
+Where the items are too many for every task, a filter of fixed size over their kept hashes goes there instead, and
+documents send the windows that their passing hashes stand for. Those are joined with the items' by the kept hash
+and the whole window, so that neither a common k-gram nor a long item gathers in one place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import stored
+from attestra.llm.common import BROADCAST_ROWS, stored
 from attestra.llm.word_hash import ALNUM, blocks, grams, words
 
 SPAN, GRAM = 13, 5
 #: Words of all items up to which the items go to every task; beyond it, kept hashes are joined by a shuffle.
 LOCAL_WORDS = 2_000_000
+#: Bits of the filter, as a power of two.
+FILTER_BITS = 27
 _FOUND = "struct<n_words: bigint, n_hit: bigint, items: array<string>>"
 _ARROW_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
 
@@ -147,8 +154,8 @@ def flagged(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int =
     reported as often as they occur. Empty tables give no hits, or no rows.
 
     The items are counted first. Up to local_words words they go to each task and documents are read once,
-    without a shuffle. Beyond, kept hashes of both sides are joined by a shuffle, and only documents with a
-    joined hash are compared, with the candidate items of each.
+    without a shuffle. Beyond, windows of both sides are joined by a shuffle, after a filter. The words of a window are
+    then known by two 64-bit hashes.
     """
     bench = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -174,46 +181,93 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     return flagged(docs, benchmark, span, gram, "text", local_words).select("doc_id", "contamination.*")
 
 
-def _by_join(docs: DataFrame, bench: DataFrame, span: int, gram: int, text_col: str, schema: T.StructType) -> DataFrame:
-    row = "_row"
-    docs = docs.withColumn(row, F.monotonically_increasing_id())
-    right = stored(_kept(bench.withColumnRenamed("item_id", "key"), [], span, gram).withColumnRenamed("key", "item_id"), "items")
-    lengths = sorted(r[0] for r in right.select("k").distinct().toLocalIterator())
-    left = _kept(docs.select(F.col(row).alias("key"), F.col(text_col).cast("string").alias("text")), lengths, span, gram)
-    pairs = left.join(right, ["k", "hash"]).select(F.col("key").alias(row), "item_id").distinct()
-    chosen = pairs.join(bench, "item_id").groupBy(row).agg(F.collect_list(F.struct("item_id", F.col("text").alias("item"))).alias("_near"))
-    columns = [f.name for f in schema.fields[:-1]]
-    at = columns.index(text_col)
+def _windows(h: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, kept hash, hash) of every window of w k-grams inside one text; the kept hash is its least."""
+    g = grams(h, k)
+    n = len(g) - w + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), g[:0], g[:0]
+    least = np.lib.stride_tricks.sliding_window_view(g, w).min(axis=1)
+    at = np.arange(n)
+    inside = np.searchsorted(bounds, at, "right") == np.searchsorted(bounds, at + k + w - 2, "right")
+    return at[inside], least[inside], grams(h, k + w - 1)[inside]
 
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                near = batch.column(len(columns))[i].as_py() or []
-                rows = _item_rows([x["item_id"] for x in near], pa.array([x["item"] for x in near], pa.large_string())) if near else []
-                out += _report(Items(rows, span, gram), batch.column(at).slice(i, 1)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, _ARROW_FOUND)], names=[*columns, "contamination"])
 
-    return docs.join(chosen, row, "left").select(*columns, "_near").mapInArrow(far, schema)
+def _levels(words_of_items: DataFrame, span: int, gram: int) -> list[tuple[int, int]]:
+    """(k, w) for the lengths of items that there are, at most span."""
+    lengths = sorted(r[0] for r in words_of_items.select(F.least("n", F.lit(span))).distinct().toLocalIterator())
+    return [(gram, span - gram + 1) if n == span else (n, 1) for n in lengths if n]
+
 
+def _filter(items: DataFrame) -> np.ndarray:
+    """Bits of the kept hashes, FILTER_BITS of them whatever the number of items."""
+    place = items.select(F.col("kept").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("place"))
+    got = place.groupBy(F.expr("int(shiftright(place, 6))").alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(place & 63)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
 
-def _kept(rows: DataFrame, lengths: list[int], span: int, gram: int) -> DataFrame:
-    """Kept hashes (key, k, hash); without lengths, those of an item's own level, else those of a text for each k."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_join(docs: DataFrame, bench: DataFrame, span: int, gram: int, text_col: str, schema: T.StructType) -> DataFrame:
+    spark, columns = docs.sparkSession, [f.name for f in schema.fields[:-1]]
+    # Rows are numbered in a table, so that every later reading finds the same numbers.
+    docs = stored(docs.select(F.monotonically_increasing_id().alias("_row"), *columns), "numbered")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.diff(words(part, offsets, ALNUM)[3]) for _, _, part, offsets in blocks(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *n]).astype(np.int64))], names=["id", "n"])
+
+    def sent(levels: list[tuple[int, int]], passing: Broadcast | None) -> Callable:
+        """Windows (id, m, first, kept, window) of rows (id, text); with passing, those whose kept hash passes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = None if passing is None else passing.value
+            for batch in batches:
+                for a, b, part, offsets in blocks(batch.column(1)):
+                    h, _, _, bounds = words(part, offsets, ALNUM)
+                    ids, counts = batch.column(0).slice(a, b - a), np.diff(bounds)
+                    for k, w in levels:
+                        first, kept, whole = _windows(h, bounds, k, w)
+                        of = np.searchsorted(bounds, first, "right") - 1
+                        # An item's own level is that of its length; a document has windows of all levels.
+                        if bits is None:
+                            take = np.minimum(counts[of], span) == k + w - 1
+                        else:
+                            place = kept & np.uint64(64 * len(bits) - 1)
+                            take = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                        first, kept, whole, of = first[take], kept[take], whole[take], of[take]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(np.full(len(of), k + w - 1, np.int32)), pa.array(first - bounds[of]), pa.array(kept.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "m", "first", "kept", "window"])
+
+        return run
+
+    windows = "m int, first long, kept long, window long"
+    items = bench.select(F.col("item_id").alias("id"), "text")
+    kind = items.schema["id"].dataType.simpleString()
+    levels = _levels(items.mapInArrow(count, f"id {kind}, n long"), span, gram)
+    right = stored(items.mapInArrow(sent(levels, None), f"id {kind}, {windows}").select(F.col("id").alias("item_id"), "m", "kept", "window").distinct(), "items")
+    bits = spark.sparkContext.broadcast(_filter(right))
+    rows = docs.select(F.col("_row").alias("id"), F.col(text_col).cast("string").alias("text"))
+    left = stored(rows.mapInArrow(sent(levels, bits), f"id long, {windows}").withColumnRenamed("id", "_row"), "windows")
+    key = ["m", "kept", "window"]
+    hits = left.join(right.select(key).distinct(), key, "left_semi")
+    # Windows that follow each other on a text are one run; its words count once.
+    order = Window.partitionBy("_row").orderBy("first", "m")
+    until = F.max(F.col("first") + F.col("m")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("first") + F.col("m") - F.greatest("first", F.coalesce(until, F.lit(0)))
+    n_hit = hits.select("_row", "first", "m").distinct().withColumn("new", F.greatest(F.lit(0), new)).groupBy("_row").agg(F.sum("new").alias("n_hit"))
+    named = left.select("_row", *key).distinct().join(right, key).select("_row", F.col("item_id").cast("string").alias("item")).distinct()
+    named = named.groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = stored(n_hit.join(named, "_row"), "found")
+    found = F.broadcast(found) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else found
+    at = columns.index(text_col)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            for a, b, part, offsets in blocks(batch.column(1)):
-                h, _, _, bounds = words(part, offsets, ALNUM)
-                for i in range(a, b):
-                    own = h[bounds[i - a] : bounds[i - a + 1]]
-                    for k in lengths or ([gram] if len(own) >= span else [len(own)]):
-                        if not k:
-                            continue
-                        # A level of whole short items has every gram; the winnowed level is k == gram of long items.
-                        widths = {span - gram + 1} if not lengths and len(own) >= span else {1} if not lengths or k != gram else {1, span - gram + 1}
-                        found = np.unique(np.concatenate([winnowed(own, np.array([0, len(own)]), k, w)[1] for w in widths]))
-                        yield pa.RecordBatch.from_pydict({"key": pa.array([keys[i].as_py()] * len(found), keys.type), "k": np.full(len(found), k, np.int32), "hash": found.view(np.int64)})
-
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "text").mapInArrow(run, f"key {kind}, k int, hash long")
+            n = [np.diff(words(part, offsets, ALNUM)[3]) for _, _, part, offsets in blocks(batch.column(at))]
+            n = pa.array(np.concatenate([np.zeros(0, np.int64), *n]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.StructArray.from_arrays([n, *batch.columns[-2:]], fields=list(_ARROW_FOUND))], names=[*columns, "contamination"])
+
+    none = F.array().cast("array<string>")
+    joined = docs.join(found, "_row", "left").select(*columns, F.coalesce("n_hit", F.lit(0)).cast("long").alias("_n_hit"), F.coalesce("items", none).alias("_items"))
+    return joined.mapInArrow(close, schema)
