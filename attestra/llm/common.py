@@ -12,21 +12,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a full URI; a local one is chosen only where none is configured."""
+    """The folder that driver and executors share, as a full URI.
+
+    It is spark.checkpoint.dir. Where that is unset, a folder of this machine is used if the master is local, and
+    RuntimeError raised otherwise.
+    """
     context = spark.sparkContext
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(f"file:///tmp/checkpoints/attestra-{uuid.uuid4().hex}")
-        found = context.getCheckpointDir()
-    elif context.getCheckpointDir() is None:
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file:///tmp/checkpoints/attestra-{uuid.uuid4().hex}"
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
+        found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return re.sub("^file:/(?!/)", "file:///", full).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/attestra-{tag}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder, which can go as a whole when its results have been used."""
+    return f"{shared_dir(spark)}/attestra-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -34,7 +41,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored() table that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(col: Column) -> Column:
@@ -72,7 +88,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = stored(small.distinct(), "edges")
+        before, e = e, stored(small.distinct(), "edges")
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == digest:
             break

@@ -69,7 +69,7 @@ def op10_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     messages = stored(chat_trees.chain(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)), "messages")
-    out = chat_trees.format_paths(messages, chat_trees.best_paths(messages))
+    out = chat_trees.format_paths(messages, chat_trees.best_paths(messages, unique=True), unique=True)
     told, loss = chat_trees.read_back(F.col("formatted")), chat_trees.under_loss(F.col("formatted"), F.col("loss"))
     out = out.select(F.col("tree_id").alias("conv_id"), told.alias("told"), loss.alias("trained"), F.length("formatted").cast("long").alias("formatted_chars"))
     turns = F.array_join(F.transform("told", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
@@ -90,6 +90,16 @@ QUERIES = {
     "op9_url_rules": op9_url_rules,
     "op10_chat_trees": op10_chat_trees,
 }
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _values(rows: list[tuple]) -> str:
+    """Rows of numbers, truth values and strings as SQL."""
+    one = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+_GRAMS = [(i, label, kind, k, n, p, " ".join(w[p : p + k])) for i, label, kind, k, n, w in license_scan.template_rows(license_scan.PHRASES, license_scan.NOTICES | license_scan.TEXTS) for p in range(n)]
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
@@ -133,6 +143,42 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT a, min(b) AS b FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
         SELECT vec_id, coalesce(n.n, 0) AS n_links, m.b AS component_id, m.b = vec_id AS kept
         FROM embeddings JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op8_license_scan": rf"""
+        WITH t(template, label, is_phrase, k, n, place, g) AS (VALUES {_values(_GRAMS)}),
+        d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_ALNUM}) AS w FROM documents),
+        g AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t))),
+        v AS (SELECT doc_id, template, pos, place, pos - place AS diagonal FROM g JOIN t USING (k, g)),
+        i AS (SELECT DISTINCT template, label, is_phrase, k, n FROM t),
+        x AS (SELECT doc_id, template, diagonal, min(pos) AS a, max(pos) AS b FROM v GROUP BY ALL),
+        c AS (SELECT x.*, CASE WHEN is_phrase OR diagonal - lag(diagonal) OVER o > {license_scan.STEP} OR abs(a - lag(b) OVER o) > n OR lag(b) OVER o IS NULL THEN 1 ELSE 0 END AS cut
+              FROM x JOIN i USING (template) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+        r AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM c),
+        s AS (SELECT doc_id, template, run, min(pos) AS a, max(pos) AS b, count(DISTINCT place) AS met FROM v JOIN r USING (doc_id, template, diagonal) GROUP BY ALL),
+        f AS (SELECT doc_id, label, is_phrase, a, a + k - 1 + b - a AS z, met / greatest(n, b - a + 1) AS share FROM s JOIN i USING (template)
+              WHERE CASE WHEN is_phrase THEN met = n WHEN n < {license_scan.WHOLE} THEN met / greatest(n, b - a + 1) >= 1 ELSE met / greatest(n, b - a + 1) >= {license_scan.COVERAGE} END)
+        SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(a) FILTER (WHERE is_phrase) AS n_base, min(a) FILTER (WHERE is_phrase) AS first_word, max(a) FILTER (WHERE is_phrase) AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0) AS score
+        FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""",
+    "op9_url_rules": rf"""
+        WITH RECURSIVE given(n, h, p, v) AS (VALUES {_values([(i, *r) for i, r in enumerate(url_rules.RULES)])}),
+        u AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}') AS host,
+                     regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+        fits AS (SELECT r, max_by(h || p, 100 * length(h || p) - n) AS rule, max_by(v, 100 * length(h || p) - n) AS v FROM u JOIN given ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+        parts AS (SELECT r, [x FOR x IN list_distinct(['scheme=' || regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)] || ['host=' || x FOR x IN string_split(host, '.')]
+                         || ['path=' || CASE WHEN regexp_full_match(x, '[0-9]+') THEN '#' ELSE x END FOR x IN string_split(regexp_replace(path, '\.([A-Za-z]{{1,5}})$', '/.\1'), '/')]
+                         || ['query=' || string_split(x, '=')[1] FOR x IN string_split(regexp_extract(url, '\?([^#]*)', 1), '&')]) IF NOT ends_with(x, '=')] AS t FROM u),
+        lab AS (SELECT r, t, v FROM fits JOIN parts USING (r) WHERE len(t) > 0),
+        least AS (SELECT greatest({url_rules.MIN_COUNT}, ceil({url_rules.MIN_SUPPORT} * count(*))) AS k FROM lab),
+        one AS (SELECT x, list(r) AS rows FROM (SELECT r, unnest(t) AS x FROM lab) GROUP BY x HAVING count(*) >= (SELECT k FROM least)),
+        sets AS (SELECT [x] AS items, rows FROM one
+                 UNION ALL SELECT list_append(s.items, x), list_intersect(s.rows, one.rows) FROM sets s JOIN one ON x > s.items[-1]
+                 WHERE len(list_intersect(s.rows, one.rows)) >= (SELECT k FROM least) AND len(list_intersect(s.rows, one.rows)) < len(s.rows)),
+        by_v AS (SELECT v, list(r) AS rows FROM lab GROUP BY v),
+        counted AS (SELECT items, v, len(list_intersect(s.rows, b.rows)) AS met, len(s.rows) AS n FROM sets s, by_v b),
+        rules AS (SELECT items, v, met / n AS c FROM counted WHERE met >= (SELECT k FROM least) AND met / n >= {url_rules.MIN_CONFIDENCE}),
+        kept AS (SELECT * FROM rules a WHERE NOT EXISTS (SELECT 1 FROM rules b WHERE a.v = b.v AND b.c >= a.c AND len(b.items) < len(a.items) AND list_has_all(a.items, b.items))),
+        best AS (SELECT r, max({{'c': c, 'k': len(items), 'v': v}}) AS b FROM parts JOIN kept ON list_has_all(t, items) GROUP BY r)
+        SELECT page_id, host, path, rule, coalesce(fits.v, best.b.v, '{url_rules.DEFAULT}') AS verdict FROM u LEFT JOIN fits USING (r) LEFT JOIN best USING (r)""",
     "op10_chat_trees": r"""
         WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),

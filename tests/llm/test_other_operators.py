@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
+import re
 from datetime import datetime, timezone
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -109,9 +112,29 @@ def test_recall_of_graphs():
     rng = np.random.default_rng(6)
     x = np.repeat(rng.normal(size=(60, 24)), 25, axis=0) + rng.normal(size=(1500, 24)) * 0.08
     x /= np.linalg.norm(x, axis=1)[:, None]
-    a, b, report = hnsw_dedup.search(x, x, 0.98)
+    a, b, report = hnsw_dedup.search(x, x, 0.98, np.arange(1500), audit=64)
     want = set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.98)), strict=True))
-    assert len(want & set(zip(a.tolist(), b.tolist(), strict=True))) / len(want) > 0.99 and report["audited"] == 64
+    assert len(want & set(zip(a.tolist(), b.tolist(), strict=True))) / len(want) > 0.99
+    assert report["audited"] == 64 and report["wanted"] > 0 and report["recall"][-1] == 1
+    alone = hnsw_dedup.search(np.eye(24), np.eye(24), 0.98, np.arange(24))[2]
+    assert (alone["wanted"], alone["recall"]) == (0, [])
+
+
+def test_audits_are_reported(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8) if i % 3 else np.ones(8) + rng.normal(size=8) * 0.02).tolist(), i % 2) for i in range(600)]
+    out, audits = hnsw_dedup.with_audits(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=100, queries=200)
+    got = audits.collect()
+    assert out.count() == 600 and len(got) >= 6 and all(r.audited > 0 and (r.recall[-1] == 1 if r.wanted else not r.recall) for r in got) and sum(r.wanted for r in got) > 0
+
+
+def test_graphs_survive_packing():
+    x = np.random.default_rng(1).normal(size=(300, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = hnsw_dedup.Graph(x)
+    packed = hnsw_dedup.Graph.unpack(*(g.pack()[k] for k in ("sizes", "x", "names", "near")))
+    for a, b in zip(g.within(x, 0.7, 32), packed.within(x, 0.7, 32), strict=True):
+        assert all((p == q).all() for p, q in zip(a, b, strict=True))
 
 
 # --- URL rules
@@ -125,21 +148,64 @@ def test_given_rules(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_mined_rules_against_counts(spark):
+def brute_rules(rows, least, confidence):
+    """Rules of single tokens and of sets of them, each minimal, from (tokens, verdict)."""
+    frequent = [x for x in sorted({x for t, _ in rows for x in t}) if sum(x in t for t, _ in rows) >= least]
+    rules = {}
+    for n in range(1, len(frequent) + 1):
+        for items in combinations(frequent, n):
+            met = [v for t, v in rows if set(items) <= set(t)]
+            for verdict in set(met):
+                both = met.count(verdict)
+                if both >= least and both / len(met) >= confidence:
+                    if not any(set(x) < set(items) and v == verdict and c >= both / len(met) for (x, v), c in rules.items()):
+                        rules[items, verdict] = both / len(met)
+    return rules
+
+
+def test_mined_rules_against_enumeration(spark):
     rng = random.Random(5)
     rows = []
     for _ in range(300):
         t = rng.sample(["a", "b", "c", "d"], rng.randrange(1, 4))
+        t += ["a2"] if "a" in t else []
         rows.append((t, "block" if "a" in t and "b" in t or ("d" in t and rng.random() < 0.95) else "allow"))
     rules = url_rules.mine(spark.createDataFrame([*rows, (None, "block"), ([], "block"), (["a"], None)], "tokens array<string>, verdict string"), 0.02, 0.9)
-    assert (["a", "b"], "block", 1.0) in rules
+    got = {}
     for items, verdict, confidence in rules:
-        met = [v for t, v in rows if set(items) <= set(t)]
-        assert confidence == pytest.approx(sum(v == verdict for v in met) / len(met)) and confidence >= 0.9
-        assert not any(set(x) < set(items) and v == verdict and c >= confidence for x, v, c in rules)
+        for one in product(*items):
+            got[tuple(sorted(one)), verdict] = pytest.approx(confidence)
+    assert got == brute_rules(rows, 6, 0.9) and any(len(x) == 2 for items, _, _ in rules for x in items)
     assert url_rules.mine(spark.createDataFrame([], "tokens array<string>, verdict string")) == []
 
 
+def test_long_urls_are_mined_in_little_time(spark):
+    long = "http://h.com/" + "/".join(f"s{i}" for i in range(60))
+    urls = [long] * 12 + [f"http://x.net/es/{i}" for i in range(20)] + [f"http://y.com/{i}?id=1" for i in range(9)] + ["http://q.org/s3/s4", "http://y.org/?id=2"]
+    got = url_rules.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")).collect()
+    assert {r.page_id: r.verdict for r in got}[41] == "allow" and len(got) == len(urls)
+
+
+def test_whole_verdict_against_brute_force(spark):
+    rng = random.Random(12)
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['a', 'b', 'www', 'Shop'])}.{rng.choice(['x', 'y'])}.{rng.choice(['com', 'net', 'net', 'org', 'de'])}/{rng.choice(['es', 'fr', 'en', 'Es'])}/{rng.choice(['1', 'item', 'a.html'])}{rng.choice(['', '?id=3', '?q&id=1', '#f'])}" for _ in range(260)]
+    urls += [None, "", "no url", "x\n://A.com/p", "x\n://A.org/p\nq?r", urls[0], urls[0]]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    split = lambda u: (lambda m: (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", ""))(re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or ""))
+    tokens = {r.page_id: r.t for r in df.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    given = {}
+    for i, u in enumerate(urls):
+        host, path = split(u)
+        fits = [(len(h + p), h + p, v) for h, p, v in url_rules.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        given[i] = max(fits, default=(0, None, None))[1:]
+    labelled = [(tokens[i], v) for i, (_, v) in given.items() if v and tokens[i]]
+    rules = brute_rules(labelled, max(3, math.ceil(0.02 * len(labelled))), 0.9)
+    for r in url_rules.judge(df, min_support=0.02).collect():
+        rule, verdict = given[r.page_id]
+        best = max(((c, len(x), v) for (x, v), c in rules.items() if set(x) <= set(tokens[r.page_id])), default=(0, 0, "allow"))[2]
+        assert ((r.host, r.path), r.rule, r.verdict) == (split(urls[r.page_id]), rule, verdict or best)
+
+
 # --- chat trees
 
 
@@ -170,10 +236,19 @@ def test_paths_of_trees_against_enumeration(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
-def test_cycles_are_refused(spark):
-    df = spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 1, 1.0)], "tree_id long, msg_id long, parent_id long, score double")
-    with pytest.raises(ValueError, match="cycle"):
-        chat_trees.best_paths(df, max_rounds=3)
+def test_cycles_and_repeats(spark):
+    ring = [(1, i, (i + 1) % 300, 1.0) for i in range(300)] + [(1, 500, 299, 5.0)]
+    rows = [*ring, (2, 1, None, 1.0), (2, 2, 1, 2.0), (2, 2, 1, 2.0), (2, 3, 2, 1.0), (2, 3, 2, 0.5), (3, 7, 7, 1.0), (4, 2, 5, 1.0), (4, 5, 2, 1.0), (4, None, 2, 1.0)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "tree_id long, msg_id long, parent_id long, score double, path string")
+    got = {}
+    for r in chat_trees.best_paths(df).collect():
+        got.setdefault(r.tree_id, []).append((r.depth, r.msg_id))
+    # The ring is cut above message 0, whose parent was 1: from there it runs 0, 299, 298 and so on; 500 hangs on 299.
+    assert sorted(got[1]) == [(1, 0), (2, 299), (3, 500)]
+    assert (sorted(got[2]), got[3], sorted(got[4])) == ([(1, 1), (2, 2), (3, 3)], [(1, 7)], [(1, 2), (2, 5)])
+    m = spark.createDataFrame([(2, 1, "user", "b"), (2, 1, "user", "a"), (2, 2, "assistant", "x"), (2, 3, None, None)], "tree_id long, msg_id long, role string, text string")
+    r = chat_trees.format_paths(m, chat_trees.best_paths(df).where("tree_id = 2")).first()
+    assert r.n_turns == 3 and "a</turn>" in r.formatted and "b</turn>" not in r.formatted
 
 
 def test_formats_are_reversible(spark):
