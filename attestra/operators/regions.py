@@ -6,6 +6,8 @@ those of one page; a page holds at most 64 symbols, and frames and words in prop
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,55 @@ def frames_of_paths(paths: DataFrame, dpi: int = K.DPI) -> DataFrame:
     return f.select(*PAGE, n.alias("frame_idx"), "x0", "y0", "x1", "y1")
 
 
+#: Operations that paint a path's line, and those that only fill it.
+STROKES, FILLS = ("stroke", "closeStroke", "closeFillStroke", "fillStroke", "eoFillStroke", "closeEOFillStroke"), ("fill", "eoFill")
+
+
+def _placed(ops: list[str], args: list, view: list[float]) -> list[list[float]]:
+    """Boxes of the paths that a page's drawing operations stroke, in pixels."""
+    matrix = lambda m: np.array([[m[0], m[2], m[4]], [m[1], m[3], m[5]], [0, 0, 1]], float)
+    now, stack, path, out, view = np.eye(3), [], None, [], matrix(view)
+    for op, a in zip(ops, args, strict=True):
+        if op in ("save", "beginForm"):
+            stack.append(now)
+            now = now @ matrix(a) if op == "beginForm" and a is not None and len(a) else now
+        elif op in ("restore", "endForm"):
+            now = stack.pop() if stack else np.eye(3)
+        elif op == "transform":
+            now = now @ matrix(a)
+        elif op == "path":
+            path = np.array(a, float) if a is not None and len(a) == 4 and np.isfinite(np.array(a, float)).all() else None
+        elif op in STROKES or op in FILLS:
+            if path is not None and op in STROKES:
+                corners = (view @ now @ np.array([path[[0, 2, 2, 0]], path[[1, 1, 3, 3]], np.ones(4)]))[:2]
+                out.append([*corners.min(1), *corners.max(1)])
+            path = None
+    return out
+
+
+def paths_of_draws(draws: DataFrame) -> DataFrame:
+    """(doc_id, page_no, paint, x0, y0, x1, y1), as frames_of_paths() takes them, of a page's drawing operations.
+
+    draws: doc_id, page_no, n (the order), op, args array<double>, view array<double> (six numbers of the page's map to
+    pixels). op: save, restore, transform (six numbers), beginForm (six or none), endForm, path (its least and largest
+    x and y: x0, y0, x1, y1), or one of STROKES or FILLS. A path is painted once; a page whose operations can't be
+    followed has no paths. The state is a stack, so a page's operations are scanned in order.
+    """
+    schema = draws.select(*PAGE).schema
+    for name, kind in (("paint", "string"), ("x0", "double"), ("y0", "double"), ("x1", "double"), ("y1", "double")):
+        schema = schema.add(name, kind)
+
+    def scan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("n", kind="stable")
+        try:
+            found = _placed(g.op.tolist(), g.args.tolist(), g["view"].iloc[0])
+        except (ValueError, IndexError, TypeError):
+            found = []
+        return pd.DataFrame([(*key, "stroke", *b) for b in found], columns=schema.names)
+
+    return draws.groupBy(*PAGE).applyInPandas(scan, schema)
+
+
 def smallest_container(points: DataFrame, boxes: DataFrame, on: list[str], key: list[str], x: str = "cx", y: str = "cy", label: str = "label") -> DataFrame:
     """points with the index of the smallest box around each, edges inside; -1 where there is none.
 

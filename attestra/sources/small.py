@@ -34,12 +34,17 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet") -> None:
     w.csv(path, sep="\t", header=True) if kind == "tsv" else w.format(kind).save(path)
 
 
-def html_report(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(html): one table row for each row, escaped; cells of other types are cast to text."""
+def report_cells(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with a column `row`, a table row of the columns, escaped; cells of other types are cast to text."""
     from attestra.functions.text import html_escape
 
     cells = [F.concat(F.lit("<td>"), html_escape(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in columns]
-    return rows.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))
+    return rows.withColumn("row", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")))
+
+
+def html_report(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(html): one table row for each row."""
+    return report_cells(rows, columns).select(F.col("row").alias("html"))
 
 
 def stale(used: Column, current: Column) -> Column:

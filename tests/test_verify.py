@@ -1,9 +1,11 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attestra.operators import regions
 from attestra.plans.verify import verify
 from attestra.sources import rasters, small
 from attestra.streaming import results
@@ -118,6 +120,97 @@ def test_rasters(spark):
     assert tuple(r) == ("pdf", "pdf", "tiff", "image")
 
 
+def packed_lzw(data):
+    """Codes of a plain encoder, as the format has them."""
+    words, out, last = {bytes([i]): i for i in range(256)}, [(256, 9)], b""
+    n = 258
+
+    def width():
+        return min(12, max(9, n.bit_length()))
+
+    for c in data:
+        word = last + bytes([c])
+        if word in words:
+            last = word
+            continue
+        out.append((words[last], width()))
+        words[word], n, last = n, n + 1, bytes([c])
+        if n >= 4094:
+            out.append((256, width()))
+            words, n = {bytes([i]): i for i in range(256)}, 258
+    out += [(words[last], width()), (257, width())] if last else [(257, width())]
+    bits = "".join(f"{c:0{w}b}" for c, w in out)
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def test_compressions():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 300, 20000):
+        data = bytes(rng.integers(0, 3, n, dtype=np.uint8))
+        assert rasters.unpack_lzw(packed_lzw(data)) == data
+    assert rasters.unpack_bits(bytes([2, 1, 2, 3, 254, 7, 128, 0, 9])) == bytes([1, 2, 3, 7, 7, 7, 9])
+    a = rng.integers(0, 255, (5, 7), dtype=np.uint8)
+    step = np.diff(a, axis=1, prepend=0).astype(np.uint8)
+    for number, pack in ((5, packed_lzw), (8, zlib.compress), (32946, zlib.compress), (32773, lambda d: b"".join(bytes([len(d[i : i + 9]) - 1]) + d[i : i + 9] for i in range(0, len(d), 9)))):
+        for predictor, rows in ((1, a), (2, step)):
+            body = pack(rows.tobytes())
+            tags = [(256, 7), (257, 5), (258, 8), (259, number), (262, 1), (273, 8), (277, 1), (279, len(body)), (317, predictor)]
+            at = 8 + len(body)
+            data = b"II*\x00" + struct.pack("<I", at) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4)
+            assert (rasters.tiff(data)[0] == a).all()
+
+
+def png(a, colour, depth, filters, more=()):
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    h, w, channels = a.shape
+    raw = a.reshape(h, -1) if depth == 8 else np.stack([np.packbits(np.unpackbits(r.reshape(-1, 1), axis=1)[:, -depth:].reshape(-1)) for r in a.reshape(h, -1)])
+    step, lines, above = max(1, channels * depth // 8), [], np.zeros(raw.shape[1], int)
+    for y, line in enumerate(raw.astype(int)):
+        kind = filters[y % len(filters)]
+        left, corner = np.concatenate([[0] * step, line[:-step]]), np.concatenate([[0] * step, above[:-step]])
+        p = left + above - corner
+        near = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+        less = [0, left, above, (left + above) // 2, near][kind]
+        lines.append(bytes([kind]) + ((line - less) % 256).astype(np.uint8).tobytes())
+        above = line
+    parts = [part(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0)), *(part(*m) for m in more), part(b"IDAT", zlib.compress(b"".join(lines))), part(b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(parts)
+
+
+def exif(how):
+    return b"MM\x00*" + struct.pack(">IHHHIHHI", 8, 1, 274, 3, 1, how, 0, 0)
+
+
+def test_images(spark):
+    rng = np.random.default_rng(3)
+    rgb = rng.integers(0, 256, (6, 5, 3), dtype=np.uint8)
+    assert (rasters.png(png(rgb, 2, 8, [0, 1, 2, 3, 4])) == rgb[:, :, 0]).all()
+    rgba = np.concatenate([rgb, rng.integers(0, 256, (6, 5, 1), dtype=np.uint8)], axis=2)
+    alpha = rgba[:, :, 3].astype(float)
+    assert (rasters.png(png(rgba, 6, 8, [4])) == np.floor(rgb[:, :, 0] * alpha / 255 + 255 - alpha + 0.5)).all()
+    bits = rng.integers(0, 2, (4, 11, 1), dtype=np.uint8)
+    assert (rasters.png(png(bits, 0, 1, [0, 2])) == bits[:, :, 0] * 255).all()
+    palette = (b"PLTE", bytes([9, 0, 0, 200, 0, 0]))
+    assert (rasters.png(png(bits, 3, 1, [0], [palette])) == np.where(bits[:, :, 0] == 1, 200, 9)).all()
+    a = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    for how, want in ((1, [[0, 1, 2], [3, 4, 5]]), (3, [[5, 4, 3], [2, 1, 0]]), (6, [[3, 0], [4, 1], [5, 2]]), (8, [[2, 5], [1, 4], [0, 3]]), (2, [[2, 1, 0], [5, 4, 3]]), (4, [[3, 4, 5], [0, 1, 2]]), (5, [[0, 3], [1, 4], [2, 5]]), (7, [[5, 2], [4, 1], [3, 0]])):
+        assert rasters.png(png(a, 0, 8, [0], [(b"eXIf", exif(how))])).tolist() == want
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + struct.pack(">H", 8 + len(exif(6))) + b"Exif\0\0" + exif(6) + b"\xff\xda"
+    assert rasters.orientation(jpeg) == 6 and rasters.orientation(b"\xff\xd8\xff\xda") == 1 and rasters.orientation(b"") == 1
+    files = spark.createDataFrame([("a.png", bytearray(png(rgb, 2, 8, [1]))), ("b.png", bytearray(png(rgb, 2, 8, [1])[:-30])), ("c.jpg", bytearray(jpeg))], "path string, content binary")
+    got = {r.path: r for r in rasters.read_pages(files).collect()}
+    assert (got["a.png"].width, got["a.png"].height) == (5, 6) and got["b.png"].error and "orientation 6" in got["c.jpg"].error
+
+
+def test_drawn_paths(spark):
+    view = [1.0, 0.0, 0.0, -1.0, 0.0, 1000.0]
+    ops = [("save", []), ("transform", [0.0, 1.0, -1.0, 0.0, 500.0, 0.0]), ("path", [10.0, 20.0, 110.0, 70.0]), ("closeStroke", []), ("stroke", []), ("restore", []), ("restore", []), ("path", [0.0, 0.0, 5.0, 5.0]), ("fill", []), ("stroke", []), ("path", [1.0, 1.0, 2.0, 2.0]), ("beginForm", None), ("eoFillStroke", []), ("endForm", []), ("path", [1.0]), ("stroke", [])]
+    rows = [("d", 1, i, op, a, view) for i, (op, a) in enumerate(ops)] + [("d", 2, 0, "transform", [1.0], view), ("d", 2, 1, "path", [0.0, 0.0, 9.0, 9.0], view), ("d", 2, 2, "stroke", [], view)]
+    got = regions.paths_of_draws(spark.createDataFrame(rows, "doc_id string, page_no int, n int, op string, args array<double>, view array<double>")).collect()
+    assert sorted(tuple(r)[1:] for r in got) == [(1, "stroke", 1.0, 998.0, 2.0, 999.0), (1, "stroke", 430.0, 890.0, 480.0, 990.0)]
+
+
 def test_segmented_crops(spark):
     page = np.full((60, 120), 255, np.uint8)
     page[20:40, 10:18] = 0
