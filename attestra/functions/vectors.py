@@ -30,9 +30,9 @@ def upper_median_of(df: DataFrame, by: list[str], value: str, name: str) -> Data
 
 
 def overlap_area(a: Column, b: Column) -> Column:
-    """Common area of two boxes, struct or array of x0, y0, x1, y1."""
+    """Common area of two boxes, struct<x0, y0, x1, y1>."""
     side = lambda low, high: F.greatest(F.lit(0.0), F.least(a[high], b[high]) - F.greatest(a[low], b[low]))
-    return side(0, 2) * side(1, 3)
+    return side("x0", "x1") * side("y0", "y1")
 
 
 def half_up(x: Column) -> Column:

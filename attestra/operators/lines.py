@@ -1,15 +1,13 @@
 """Lines and blocks of glyphs, as windows over ordered rows.
 
 Glyphs: key columns (of a crop), then x, y, w, h. A crop is one small group: windows are partitioned by it and no
-group is gathered, except for row banding, which depends on a running mean and takes an ordered scan by crop.
+group is gathered, except for row banding, which depends on a running mean and takes an ordered scan of a crop.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attestra import constants as K
 from attestra.functions.vectors import half_up, upper_median
@@ -65,23 +63,28 @@ def pick_line(glyphs: DataFrame, by: list[str], centre: str = "centre_x") -> Dat
 
 
 def bands(glyphs: DataFrame, by: list[str]) -> DataFrame:
-    """glyphs with `band`, rows from above: in the order of their middle, a glyph joins the last row if it is within
-    0.6 of the upper median height of the row's mean middle so far. The mean moves, so a scan by crop does it."""
-    schema = T.StructType([*glyphs.schema.fields, T.StructField("band", T.IntegerType())])
-
-    def scan(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(_c=g.y + g.h / 2).sort_values("_c", kind="stable")
-        near = 0.6 * sorted(g.h)[len(g) // 2]
-        band, mean, n, out = -1, 0.0, 0, []
-        for c in g._c:
-            if n and abs(c - mean) <= near:
-                mean, n = (mean * n + c) / (n + 1), n + 1
-            else:
-                band, mean, n = band + 1, c, 1
-            out.append(band)
-        return g.drop(columns="_c").assign(band=out)
-
-    return glyphs.groupBy(*by).applyInPandas(scan, schema)
+    """glyphs with `band`, rows from above: in the order of their middle (then x), a glyph joins the last row if it is
+    within 0.6 of the upper median height of the row's mean middle so far. The mean moves, so a crop's glyphs are
+    gathered and scanned in their order; there are as many as a crop has, and the scan stays in the JVM."""
+    rest = [c for c in glyphs.columns if c not in by]
+    one = F.struct((F.col("y") + F.col("h") / 2).alias("_c"), F.col("x").alias("_x"), F.struct(*rest).alias("_g"))
+    packed = glyphs.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    heights = F.sort_array(F.transform("_all", lambda g: g["_g"]["h"].cast("double")))
+    packed = packed.withColumn("_near", 0.6 * F.get(heights, F.floor(F.size("_all") / 2).cast("int")))
+    state = "struct<band: int, mean: double, n: int, of: array<int>>"
+
+    def join(s: Column, g: Column) -> Column:
+        c = g["_c"].cast("double")
+        near = (s["n"] > 0) & (F.abs(c - s["mean"]) <= F.col("_near"))
+        band = F.when(near, s["band"]).otherwise(s["band"] + 1)
+        mean = F.when(near, (s["mean"] * s["n"] + c) / (s["n"] + 1)).otherwise(c)
+        n = F.when(near, s["n"] + 1).otherwise(F.lit(1))
+        return F.struct(band.alias("band"), mean.alias("mean"), n.alias("n"), F.concat(s["of"], F.array(band)).alias("of")).cast(state)
+
+    start = F.struct(F.lit(-1).alias("band"), F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of")).cast(state)
+    packed = packed.withColumn("_of", F.aggregate("_all", start, join)["of"])
+    out = packed.select(*by, F.explode(F.arrays_zip(F.col("_all._g").alias("g"), F.col("_of").alias("band"))).alias("z"))
+    return out.select(*by, "z.g.*", F.col("z.band").alias("band")).select(*glyphs.columns, "band")
 
 
 def pick_block(glyphs: DataFrame, by: list[str], anchor: str = "centre_y", by_words: bool = True) -> DataFrame:

@@ -5,9 +5,12 @@ Each scans one page in its given order; pages spread over tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra import constants as K
@@ -15,18 +18,17 @@ from attestra.functions.pixels import ink_inside, ink_sums
 
 
 def first_of_neighbours(rows: DataFrame, by: list[str], order: list[str], places: list[str], radius: float = K.DUPLICATE_RADIUS) -> DataFrame:
-    """rows without those that lie nearer than radius, in every one of places, to a row kept before in the order."""
-
-    def scan(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        at = g[places].to_numpy(float)
-        kept: list[int] = []
-        for i in range(len(g)):
-            if not kept or not (np.abs(at[kept] - at[i]) < radius).all(axis=1).any():
-                kept.append(i)
-        return g.iloc[kept]
+    """rows without those that lie nearer than radius, in every one of places, to a row kept before in the order.
 
-    return rows.groupBy(*by).applyInPandas(scan, rows.schema)
+    A group is gathered and scanned in its order, in the JVM; the rows kept are compared with each row. Columns of a
+    map type aren't supported, as rows that the order doesn't tell apart are taken by their other columns. Nulls are
+    near to nothing.
+    """
+    one = F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.struct(*rows.columns).alias("_row"))
+    packed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_all")).select(F.col("_all._row").alias("_all"))
+    near = lambda x, y: reduce(and_, (F.coalesce(F.abs(x[p].cast("double") - y[p].cast("double")) < radius, F.lit(False)) for p in places))
+    keep = lambda kept, x: F.when(F.exists(kept, lambda y: near(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
+    return packed.select(F.explode(F.aggregate("_all", F.filter("_all", lambda x: F.lit(False)), keep)).alias("_row")).select("_row.*")
 
 
 def first_symbols(observations: DataFrame) -> DataFrame:
@@ -34,7 +36,8 @@ def first_symbols(observations: DataFrame) -> DataFrame:
     box of the corners and their mean as centre."""
     xs, ys = F.col("corners.x"), F.col("corners.y")
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / 4
-    o = observations.where(F.col("seq") < K.SYMBOLS_PER_PAGE).withColumn("mx", mean(xs)).withColumn("my", mean(ys))
+    number = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("seq"))
+    o = observations.withColumn("_n", number).where(F.col("_n") <= K.SYMBOLS_PER_PAGE).drop("_n").withColumn("mx", mean(xs)).withColumn("my", mean(ys))
     o = o.withColumn("x0", F.array_min(xs)).withColumn("y0", F.array_min(ys)).withColumn("x1", F.array_max(xs)).withColumn("y1", F.array_max(ys))
     return first_of_neighbours(o, ["doc_id", "page_no"], ["seq"], ["mx", "my"])
 

@@ -225,11 +225,6 @@ def _next_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), after.alias("b")).where("b is not null")
 
 
-@query(f"SELECT p_partkey, levenshtein(a, b) AS dist FROM ({_NEXT_PART}) WHERE b IS NOT NULL")
-def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _next_parts(spark, sf_dir).select("p_partkey", F.levenshtein("a", "b").cast("long").alias("dist"))
-
-
 @query(f"""
     SELECT p_partkey, i, CASE WHEN i < length(a) THEN substring(a, i + 1, 1) ELSE '·' END AS a, CASE WHEN i < length(b) THEN substring(b, i + 1, 1) ELSE '·' END AS b
     FROM (SELECT *, unnest(range(greatest(length(a), length(b)))) AS i FROM ({_NEXT_PART}) WHERE b IS NOT NULL)
@@ -358,7 +353,6 @@ def empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.empty_pages(page("documents"), page("labels")).select("doc_id")
 
 
-@query()
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user without those within 2.0 of an event kept before, in their order of ids."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
@@ -372,10 +366,13 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(e, ["label"], ["vec_id"], ["vec_id"], similarity=0.3)
 
 
-@query()
+@query("""
+    WITH t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '_', 'g') AS text FROM benchmark),
+    b AS (SELECT a.item_id, a.text AS a, b.text AS b FROM t a JOIN t b ON b.item_id = a.item_id + 1)
+    SELECT item_id, CASE WHEN length(a) = length(b) THEN hamming(a, b) ELSE levenshtein(a, b) END AS count, CASE WHEN length(a) <> length(b) THEN levenshtein(a, b) END AS dist FROM b""")
 def align_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the texts of items with neighbouring ids depart from each other."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "_").alias("a"))
     b = t.join(t.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
     m = b.withColumn("m", X.char_mismatches(F.col("a"), F.col("b")))
-    return m.select("item_id", "m.count", "m.unclear", "m.dist", F.size("m.items").alias("n_items"))
+    return m.select("item_id", F.col("m.count").cast("long").alias("count"), F.col("m.dist").cast("long").alias("dist"))

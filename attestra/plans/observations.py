@@ -61,7 +61,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 _VERDICTS = """
-    p AS (SELECT p_brand AS doc_id, p_size AS page_no, p_partkey AS k, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS seq, lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS value FROM part),
+    p AS (SELECT p_brand AS doc_id, p_size AS page_no, p_partkey AS k, count(*) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) - 1 AS seq, lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS value FROM part),
     o AS (SELECT *, CASE WHEN k % 7 = 0 THEN substring(value, 1, 3) || CAST((k % 10 + 1) % 10 AS VARCHAR) ELSE value END AS ocr, k % 19 = 0 AS blurred FROM p WHERE seq < 64),
     g AS (SELECT *, substring(ocr, pos + 1, 1) AS c, CASE WHEN blurred AND pos = 3 THEN 'blurred' ELSE substring(ocr, pos + 1, 1) END AS cluster FROM (SELECT *, unnest(range(4)) AS pos FROM o)),
     n AS (SELECT doc_id, cluster, c, count(*) AS n FROM g GROUP BY ALL),

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import geometry, pixels
@@ -313,6 +313,25 @@ def room_to_the_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.clips(s, none).select("doc_id", F.col("seq").cast("long").alias("seq"), F.round(F.coalesce("clip_right.x1", F.lit(1600.0)), 6).alias("next"))
 
 
+@query("""
+    WITH o AS (SELECT o_custkey AS d, o_orderkey AS k, day(o_orderdate) AS t, o_totalprice / 500 AS w, 70.0 + month(o_orderdate) AS h FROM orders WHERE o_orderstatus <> 'F'),
+    b AS (SELECT d, k, 2.0 * t * 2 AS x0, 3000 - 2.0 * (3 * t + h * 1.5) AS y0, 2.0 * (2 * t + w * 2) AS x1, 3000 - 2.0 * 3 * t AS y1 FROM o)
+    SELECT d AS doc_id, row_number() OVER (PARTITION BY d ORDER BY (x1 - x0) * (y1 - y0), y0, x0, x1) - 1 AS frame_idx, round(x0, 3) AS x0, round(y0, 3) AS y0, round(x1, 3) AS x1, round(y1, 3) AS y1
+    FROM b WHERE x1 - x0 > 120 * 144 / 72.0 AND y1 - y0 > 60 * 144 / 72.0""")
+def drawn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a page's drawing operations: each order draws a box through two nested maps; some are only filled."""
+    o = table(spark, sf_dir, "orders")
+    t, none = F.dayofmonth("o_orderdate").cast("double"), F.array().cast("array<double>")
+    six = lambda *m: F.array(*(m if isinstance(m, Column) else F.lit(float(m)) for m in m))
+    last = F.when(F.col("o_orderstatus") == "F", "fill").otherwise("stroke")
+    steps = [("save", none), ("transform", six(2, 0, 0, 3, 0, 0)), ("beginForm", six(1, 0, 0, 0.5, t, t)), ("path", six(0, 0, F.col("o_totalprice") / 500, 70.0 + F.month("o_orderdate"))), (last, none), ("endForm", none), ("restore", none)]
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(op) if isinstance(op, str) else op).alias("op"), a.alias("args")) for i, (op, a) in enumerate(steps)))
+    d = o.select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page_no"), "o_orderkey", F.explode(steps).alias("s"))
+    d = d.select("doc_id", "page_no", (F.col("o_orderkey") * 10 + F.col("s.i")).alias("n"), "s.op", "s.args", six(2, 0, 0, -2, 0, 3000).alias("view"))
+    f = regions.frames_of_paths(regions.paths_of_draws(d), 144)
+    return f.select("doc_id", F.col("frame_idx").cast("long").alias("frame_idx"), *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 # --- pixels: a vector of the embeddings is a raster of eight by eight
 
 _PIXELS = "SELECT vec_id AS k, i // 8 AS y, i % 8 AS x, CAST(floor(least(255, greatest(0, (CAST(embedding[CAST(i AS INTEGER) + 1] AS DOUBLE) + 0.5) * 255))) AS INTEGER) AS g FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +33,26 @@ def workers_import(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, found) if x)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of this machine is used
+    if the master is local, and RuntimeError raised otherwise."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file:///tmp/checkpoints/attestra")
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that later steps neither repeat nor plan the work before it.
-
-    A folder of its own on this machine is chosen only where none is configured.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/attestra")
-    return df.checkpoint()
+    """df written to the application's part of the shared folder and read back, so that later steps neither repeat nor
+    plan the work before it, and no executor holds the only copy."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/attestra-{spark.sparkContext.applicationId}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

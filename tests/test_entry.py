@@ -1,6 +1,7 @@
 import ast
 import importlib
 import sys
+import warnings
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ ROOT = Path(entry.__file__).parent
 
 
 def test_names_of_queries_and_statements():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and "verify_pages" in entry.queries()
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and "verify_parts" in entry.queries()
 
 
 def test_core_never_imports_the_training_operators():
@@ -36,9 +37,26 @@ def test_entry_does_without_the_training_operators(monkeypatch, gone):
             monkeypatch.delitem(sys.modules, name)
     monkeypatch.setattr(sys, "meta_path", [Hidden, *sys.meta_path])
     found = importlib.import_module("__spark_entry__").queries()
-    assert "verify_pages" in found and not any(n.startswith("op") and n[2].isdigit() or n == "pipeline" for n in found)
+    assert "verify_parts" in found and not any(n.startswith("op") and n[2].isdigit() or n == "pipeline" for n in found)
+
+
+@pytest.mark.parametrize("gone", ["public_tokenizers", "tokenizers_of_no_one"])
+def test_entry_does_without_optional_modules(monkeypatch, gone):
+    class Hidden:
+        @staticmethod
+        def find_spec(name, path=None, target=None):
+            if name == gone:
+                raise ModuleNotFoundError(name, name=gone)
+
+    for name in list(sys.modules):
+        if name.startswith(("attestra.llm", "corpus_pipeline", "__spark_entry__", "public_tokenizers")):
+            monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(sys, "meta_path", [Hidden, *sys.meta_path])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert "verify_parts" in importlib.import_module("__spark_entry__").queries()
 
 
 def test_flagship_runs(spark):
-    df = entry.queries()["verify_pages"](spark, "/root/testdata/sf0.001")
-    assert df.count() > 0 and df.columns == ["page_id", "value", "reading", "template", "margin", "reason_code", "verdict"]
+    df = entry.entry(spark)
+    assert df.count() > 0 and df.columns[:3] == ["doc_id", "page_no", "seq"] and df.columns[-2:] == ["reason_code", "verdict"]
