@@ -121,19 +121,23 @@ def pick_block(glyphs: DataFrame, by: list[str], anchor: str = "centre_y", by_wo
 
 def line_classes(glyphs: DataFrame, by: list[str], line: str = "line_no") -> DataFrame:
     """glyphs with rel, descends and `lower`: height against the line's capitals, whether it drops below the baseline,
-    and whether anything in the group (all its lines) shows small letters."""
+    and whether anything in the group (all its lines) shows small letters. A line's glyphs are gathered once, and all
+    of it is computed on them; there are as many as a crop has."""
     each = [*by, line]
-    bottom = F.col("y") + F.col("h")
-    base = glyphs.groupBy(*each).agg(upper_median(bottom).alias("_base"), (upper_median(F.col("h")) * 0.08).alias("_tol"))
-    g = glyphs.join(base, each).withColumn("_on", F.abs(bottom - F.col("_base")) <= F.col("_tol"))
-    top = g.groupBy(*each).agg(F.max(F.when(F.col("_on"), F.col("h"))).alias("_top"), F.max("h").alias("_any"))
-    g = g.join(top.select(*each, F.coalesce("_top", "_any").alias("_top"), F.col("_top").isNull().alias("_all")), each)
-    tall = F.when((F.col("_on") | F.col("_all")) & (F.col("h") >= K.SMALL * F.col("_top")), F.col("h"))
-    cap = g.groupBy(*each).agg(upper_median(tall).alias("_cap"))
-    g = g.join(cap, each)
-    g = g.withColumn("rel", F.col("h") / F.coalesce("_cap", "_top")).withColumn("descends", bottom - F.col("_base") > K.DESCENT * F.coalesce("_cap", "_top"))
-    shows = F.max(((F.col("rel") < K.SMALL) | F.col("descends")).cast("int")).over(Window.partitionBy(*by)) == 1
-    return g.withColumn("lower", shows).drop("_base", "_tol", "_on", "_top", "_all", "_cap")
+    rest = [c for c in glyphs.columns if c not in each]
+    middle = lambda values: F.get(F.sort_array(F.array_compact(values)), F.floor(F.size(F.array_compact(values)) / 2).cast("int"))
+    heights = lambda of: F.transform(of, lambda g: g["h"])
+    on = lambda g: F.abs(g["_bottom"] - F.col("_base")) <= F.col("_tol")
+    g = glyphs.groupBy(*each).agg(F.collect_list(F.struct(*rest, (F.col("y") + F.col("h")).alias("_bottom"))).alias("_g"))
+    g = g.withColumn("_base", middle(F.transform("_g", lambda x: x["_bottom"]))).withColumn("_tol", middle(heights(F.col("_g"))) * 0.08)
+    g = g.withColumn("_high", F.array_max(heights(F.filter("_g", on)))).withColumn("_top", F.coalesce("_high", F.array_max(heights(F.col("_g")))))
+    tall = F.filter("_g", lambda x: (on(x) | F.col("_high").isNull()) & (x["h"] >= K.SMALL * F.col("_top")))
+    g = g.withColumn("_cap", F.coalesce(middle(heights(tall)), F.col("_top")))
+    told = F.transform("_g", lambda x: F.struct(x.alias("g"), (x["h"] / F.col("_cap")).alias("rel"), (x["_bottom"] - F.col("_base") > K.DESCENT * F.col("_cap")).alias("descends")))
+    g = g.select(*each, told.alias("_g")).withColumn("_shows", F.exists("_g", lambda x: (x["rel"] < K.SMALL) | x["descends"]).cast("int"))
+    g = g.withColumn("lower", F.coalesce(F.max("_shows").over(Window.partitionBy(*by)), F.lit(0)) == 1)
+    g = g.select(*each, "lower", F.explode("_g").alias("_g"))
+    return g.select(*[F.col(c) if c in each else F.col(f"_g.g.{c}").alias(c) for c in glyphs.columns], "_g.rel", "_g.descends", "lower")
 
 
 def line_offsets(lines: DataFrame, by: list[str]) -> DataFrame:

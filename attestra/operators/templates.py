@@ -41,17 +41,31 @@ def read_with_fonts(glyphs: DataFrame, templates: DataFrame, metrics: DataFrame,
     """
     alphabet = K.CAPITALS + K.LETTERS
     t = templates.join(metrics.select("font", "ch", F.col("rel").alias("m_rel"), F.col("descends").alias("m_descends")), ["font", "ch"], "left")
-    t = t.where(F.col("font").isin(*fonts)).withColumn("order", F.instr(F.lit(alphabet), F.col("ch")))
-    g = glyphs.withColumn("h_bucket", height_bucket(F.col("h"))).alias("g")
-    fits = F.when(F.col("g.lower"), (F.col("t.m_descends") == F.col("g.descends")) & (F.abs(F.col("g.rel") / F.col("t.m_rel") - 1) <= K.HEIGHT_TOLERANCE)).otherwise(F.col("t.order").between(1, len(K.CAPITALS)))
-    pairs = g.join(t.alias("t"), [F.col("g.h_bucket") == F.col("t.h_bucket"), F.col("t.order") > 0, fits])
-    pairs = pairs.select(*[F.col(f"g.{c}").alias(c) for c in [*by, "pos"]], "t.font", "t.ch", "t.order", dot(F.col("g.v"), F.col("t.v")).alias("s"))
-    near = nearest_two(pairs, [*by, "pos", "font"], "ch", F.col("s"), "order")
-    named = F.array(*[F.lit(f) for f in fonts])
-    all_ = glyphs.select(*by, "pos").withColumn("font", F.explode(named)).join(near, [*by, "pos", "font"], "left")
-    one = F.struct("pos", F.coalesce(accepted(F.col("best"), F.col("top"), F.col("margin")), F.lit("?")).alias("c"), F.coalesce("margin", F.lit(0.0)).alias("m"))
-    out = all_.groupBy(*by, "font").agg(F.array_sort(F.collect_list(one)).alias("r"), (F.sum(F.coalesce("top", F.lit(0.0))) / F.count("*")).alias("fit"))
-    return out.select(*by, "font", F.array_join("r.c", "").alias("text"), F.col("r.m").alias("margins"), "fit")
+    t = t.where(F.col("font").isin(*fonts)).withColumn("order", F.instr(F.lit(alphabet), F.col("ch"))).where("`order` > 0")
+    # One row for each height, so that a glyph meets its candidates in one row and no pair of them moves.
+    t = t.groupBy("h_bucket").agg(F.collect_list(F.struct("font", "ch", "order", "m_rel", "m_descends", "v")).alias("_t"))
+    fits = lambda t: F.when(F.col("lower"), (t["m_descends"] == F.col("descends")) & (F.abs(F.col("rel") / t["m_rel"] - 1) <= K.HEIGHT_TOLERANCE)).otherwise(t["order"].between(1, len(K.CAPITALS)))
+    compared = F.transform(F.filter("_t", fits), lambda t: F.struct(dot(F.col("v"), t["v"]).alias("s"), (-t["order"]).alias("t"), t["ch"].alias("ch"), t["font"].alias("font")))
+    g = glyphs.select(*by, "pos", "v", "rel", "descends", "lower", height_bucket(F.col("h")).alias("h_bucket")).join(t, "h_bucket", "left")
+    g = g.select(*by, "pos", F.sort_array(F.filter(compared, lambda x: x["s"].isNotNull()), asc=False).alias("_near"))
+
+    def best(near: Column) -> Column:
+        """The two nearest of one font's candidates, as nearest_two() has them, and what is read from them."""
+        some = F.size(near) > 1
+        top, margin = F.get(near, F.lit(0)), F.when(some, F.get(near, F.lit(0))["s"] - F.get(near, F.lit(1))["s"]).otherwise(0.0)
+        read = F.coalesce(accepted(top["ch"], F.when(some, top["s"]), margin), F.lit("?"))
+        return F.struct(read.alias("c"), margin.alias("m"), F.when(some, top["s"]).otherwise(0.0).alias("s"))
+
+    def of(font: str) -> Column:
+        return F.coalesce(F.filter("_near", lambda x: x["font"] == font), F.array().cast("array<struct<s: double, t: int, ch: string, font: string>>"))
+
+    g = g.select("*", *[of(f).alias(f"_{i}") for i, f in enumerate(fonts)])
+    g = g.select(*by, F.struct("pos", *[best(F.col(f"_{i}")).alias(f"f{i}") for i in range(len(fonts))]).alias("_r"))
+    out = g.groupBy(*by).agg(F.array_sort(F.collect_list("_r")).alias("_r"))
+    fit = lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + x["s"]) / F.size(r)
+    each = [(f, F.col(f"_r.f{i}")) for i, f in enumerate(fonts)]
+    one = F.array(*[F.struct(F.lit(f).alias("font"), F.array_join(r["c"], "").alias("text"), r["m"].alias("margins"), fit(r).alias("fit")) for f, r in each])
+    return out.select(*by, F.explode(one).alias("_r")).select(*by, "_r.*")
 
 
 def choose_font(readings: DataFrame, by: list[str], fonts: tuple[str, ...] = K.FONTS, missing: tuple[str, ...] = ()) -> DataFrame:
