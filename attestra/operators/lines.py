@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra import constants as K
+from attestra.functions.geometry import let
 from attestra.functions.vectors import half_up, upper_median
 
 
@@ -125,16 +126,29 @@ def line_classes(glyphs: DataFrame, by: list[str], line: str = "line_no") -> Dat
     of it is computed on them; there are as many as a crop has."""
     each = [*by, line]
     rest = [c for c in glyphs.columns if c not in each]
-    middle = lambda values: F.get(F.sort_array(F.array_compact(values)), F.floor(F.size(F.array_compact(values)) / 2).cast("int"))
     heights = lambda of: F.transform(of, lambda g: g["h"])
-    on = lambda g: F.abs(g["_bottom"] - F.col("_base")) <= F.col("_tol")
+    middle = lambda values: let(F.sort_array(F.array_compact(values)), lambda v: F.get(v, F.floor(F.size(v) / 2).cast("int")))
+    on = lambda s, g: F.abs(g["_bottom"] - s["base"]) <= s["tol"]
+
+    # Each step is bound once; plain columns would be written out for each glyph.
+    def base(g: Column) -> Column:
+        return F.struct(g.alias("g"), middle(F.transform(g, lambda x: x["_bottom"])).alias("base"), (middle(heights(g)) * 0.08).alias("tol"))
+
+    def top(s: Column) -> Column:
+        return F.struct(s.alias("s"), F.array_max(heights(F.filter(s["g"], lambda x: on(s, x)))).alias("high"), F.array_max(heights(s["g"])).alias("any"))
+
+    def cap(t: Column) -> Column:
+        s, highest = t["s"], F.coalesce(t["high"], t["any"])
+        tall = F.filter(s["g"], lambda x: (on(s, x) | t["high"].isNull()) & (x["h"] >= K.SMALL * highest))
+        return F.struct(s.alias("s"), F.coalesce(middle(heights(tall)), highest).alias("cap"))
+
+    def told(t: Column) -> Column:
+        s = t["s"]
+        return F.transform(s["g"], lambda x: F.struct(x.alias("g"), (x["h"] / t["cap"]).alias("rel"), (x["_bottom"] - s["base"] > K.DESCENT * t["cap"]).alias("descends")))
+
     g = glyphs.groupBy(*each).agg(F.collect_list(F.struct(*rest, (F.col("y") + F.col("h")).alias("_bottom"))).alias("_g"))
-    g = g.withColumn("_base", middle(F.transform("_g", lambda x: x["_bottom"]))).withColumn("_tol", middle(heights(F.col("_g"))) * 0.08)
-    g = g.withColumn("_high", F.array_max(heights(F.filter("_g", on)))).withColumn("_top", F.coalesce("_high", F.array_max(heights(F.col("_g")))))
-    tall = F.filter("_g", lambda x: (on(x) | F.col("_high").isNull()) & (x["h"] >= K.SMALL * F.col("_top")))
-    g = g.withColumn("_cap", F.coalesce(middle(heights(tall)), F.col("_top")))
-    told = F.transform("_g", lambda x: F.struct(x.alias("g"), (x["h"] / F.col("_cap")).alias("rel"), (x["_bottom"] - F.col("_base") > K.DESCENT * F.col("_cap")).alias("descends")))
-    g = g.select(*each, told.alias("_g")).withColumn("_shows", F.exists("_g", lambda x: (x["rel"] < K.SMALL) | x["descends"]).cast("int"))
+    g = g.select(*each, let(let(let(base(F.col("_g")), top), cap), told).alias("_g"))
+    g = g.withColumn("_shows", F.exists("_g", lambda x: (x["rel"] < K.SMALL) | x["descends"]).cast("int"))
     g = g.withColumn("lower", F.coalesce(F.max("_shows").over(Window.partitionBy(*by)), F.lit(0)) == 1)
     g = g.select(*each, "lower", F.explode("_g").alias("_g"))
     return g.select(*[F.col(c) if c in each else F.col(f"_g.g.{c}").alias(c) for c in glyphs.columns], "_g.rel", "_g.descends", "lower")
