@@ -114,6 +114,29 @@ def test_template_gates(spark):
     assert rows(n, "g", "best", "c") == [("a", "X", "X"), ("b", "X", "?"), ("c", "X", "?"), ("e", "X", "?")]
 
 
+def test_read_with_fonts(spark):
+    """Against the rule, glyph by glyph: ties, one candidate only, no templates of the height, and no vector."""
+    made = [("Arial", 20, "A", [1.0, 0.0]), ("Arial", 20, "B", [0.0, 1.0]), ("Arial", 20, "C", [0.0, 1.0]), ("Calibri", 20, "A", [0.8, 0.6]), ("Arial", 40, "A", [1.0, 0.0]), ("Arial", 20, "a", [1.0, 0.0])]
+    t = spark.createDataFrame(made, "font string, h_bucket int, ch string, v array<double>")
+    m = spark.createDataFrame([(f, c, 0.7 if c == "a" else 1.0, False) for f in ("Arial", "Calibri") for c in "ABCa"], "font string, ch string, rel double, descends boolean")
+    seen = [("k", 0, 20.0, [1.0, 0.0], 1.0), ("k", 1, 20.0, [0.0, 1.0], 1.0), ("k", 2, 40.0, [1.0, 0.0], 1.0), ("k", 3, 80.0, [1.0, 0.0], 1.0), ("k", 4, 20.0, None, 1.0), ("small", 0, 20.0, [1.0, 0.0], 0.7), ("small", 1, 20.0, [0.6, 0.8], 1.0)]
+    g = spark.createDataFrame(seen, "k string, pos int, h double, v array<double>, rel double").withColumn("descends", F.lit(False)).withColumn("lower", F.col("k") == "small")
+    got = {(r.k, r.font): (r.text, [round(x, 9) for x in r.margins], round(r.fit, 9)) for r in templates.read_with_fonts(g, t, m, ["k"], ("Arial", "Calibri")).collect()}
+
+    def plain(k, font):
+        text, margins, fit, own = "", [], 0.0, [x for x in seen if x[0] == k]
+        for _, _, h, v, rel in own:
+            kin = [(c, w) for f, b, c, w in made if f == font and b == h and v and (abs(rel / (0.7 if c == "a" else 1.0) - 1) <= 0.15 if k == "small" else c.isupper())]
+            s = sorted(((-sum(x * y for x, y in zip(v, w, strict=True)), c) for c, w in kin), key=lambda x: (x[0], x[1]))
+            margin, top = (s[1][0] - s[0][0], -s[0][0]) if len(s) > 1 else (0.0, 0.0)
+            text += s[0][1] if len(s) > 1 and margin >= K.TEMPLATE_MARGIN and top >= K.TEMPLATE_SIMILARITY else "?"
+            margins.append(round(margin, 9))
+            fit += top
+        return text, margins, round(fit / len(own), 9)
+
+    assert got == {(k, f): plain(k, f) for k in ("k", "small") for f in ("Arial", "Calibri")} and got["k", "Arial"][0] == "A????"
+
+
 def test_font_gates(spark):
     r = lambda *fits: spark.createDataFrame([("k", f, "12", x) for f, x in zip(("Arial", "Calibri"), fits, strict=False)], "k string, font string, text string, fit double")
     choose = lambda *fits, **kw: templates.choose_font(r(*fits), ["k"], **kw).select("font", "text", "why").first()
