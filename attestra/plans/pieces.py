@@ -288,7 +288,7 @@ def text_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH o AS (SELECT o_orderkey AS k, o_totalprice / 500 AS x, day(o_orderdate) * 20.0 AS y, 90 * (o_orderkey % 4) AS a FROM orders),
+    WITH o AS (SELECT o_orderkey AS k, o_totalprice / 500 AS x, CAST(day(o_orderdate) * 20 AS DOUBLE) AS y, 90 * (o_orderkey % 4) AS a FROM orders),
     c AS (SELECT *, x - 10 AS l, 1500 - x AS r, y - 20 AS t, 1100 - y AS b FROM o)
     SELECT k AS o_orderkey, round(CASE a WHEN 0 THEN l WHEN 90 THEN t WHEN 180 THEN r ELSE b END, 6) AS cx, round(CASE a WHEN 0 THEN t WHEN 90 THEN r WHEN 180 THEN b ELSE l END, 6) AS cy, round(x, 6) AS px, round(y, 6) AS py FROM c""")
 def page_and_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +314,7 @@ def room_to_the_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH o AS (SELECT o_custkey AS d, o_orderkey AS k, day(o_orderdate) AS t, o_totalprice / 500 AS w, 70.0 + month(o_orderdate) AS h FROM orders WHERE o_orderstatus <> 'F'),
+    WITH o AS (SELECT o_custkey AS d, o_orderkey AS k, CAST(day(o_orderdate) AS DOUBLE) AS t, o_totalprice / 500 AS w, 70.0 + month(o_orderdate) AS h FROM orders WHERE o_orderstatus <> 'F'),
     b AS (SELECT d, k, 2.0 * t * 2 AS x0, 3000 - 2.0 * (3 * t + h * 1.5) AS y0, 2.0 * (2 * t + w * 2) AS x1, 3000 - 2.0 * 3 * t AS y1 FROM o)
     SELECT d AS doc_id, row_number() OVER (PARTITION BY d ORDER BY (x1 - x0) * (y1 - y0), y0, x0, x1) - 1 AS frame_idx, round(x0, 3) AS x0, round(y0, 3) AS y0, round(x1, 3) AS x1, round(y1, 3) AS y1
     FROM b WHERE x1 - x0 > 120 * 144 / 72.0 AND y1 - y0 > 60 * 144 / 72.0""")
