@@ -131,6 +131,17 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, decimal.split(" "))) if decimal else b""
 
 
+_kept: dict[tuple[str, str], Codec] = {}
+
+
+def _codec(path: str, pattern: str) -> Codec:
+    """The codec that this worker keeps from task to task, with the ids of pieces that it has seen; one at a time."""
+    if (path, pattern) not in _kept:
+        _kept.clear()
+        _kept[path, pattern] = Codec(read_ranks(path), pattern)
+    return _kept[path, pattern]
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, derive: dict[str, tuple[str, Callable[[str, bytes], object]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode its ids again: (doc_id, n_tokens, ids array<int>, decoded binary).
 
@@ -144,7 +155,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, derive: dict[s
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(ranks_path), pattern)
+        codec = _codec(ranks_path, pattern)
         for batch in batches:
             counts: list[int] = []
             columns: dict[str, list] = {k: [] for k in spec}
