@@ -37,10 +37,10 @@ INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("len
 #: Distinct words whose ids a worker keeps, in each of two generations.
 CACHE_WORDS = 300_000
 CACHE_CHARS = 64
-#: Words of Latin letters, each of which is one code point in either case. And:
-#: a comma or full stop between an ASCII letter and white space is a token of its own.
+#: Words of Latin letters, each of which is one code point in either case; and such a word with ASCII signs behind it, apostrophes
+#: apart, which are cut from it and are tokens of their own.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_STOP = re.compile(r"(?<=[A-Za-z])(?=[,.](?:[ \n]|\Z))")
+_SIGNED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]+)").fullmatch
 
 
 def masked(crc: int) -> int:
@@ -123,7 +123,9 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if (ids := self.old.get(word)) is None:
-            if self.plain and _PLAIN(word):
+            if self.plain and (parts := _SIGNED(word)):
+                ids = self[parts[1]] + self[parts[2]]
+            elif self.plain and _PLAIN(word):
                 ids = array(self.kind, [x.id for x in self.merge(word.translate(self.plain))]).tobytes()
             else:
                 ids = array(self.kind, self.encode(word, add_special_tokens=False).ids).tobytes()
@@ -152,7 +154,7 @@ class WordCachedEncoder:
                 continue
             if text.isascii() and "<|" not in text:  # a special token is matched before case is folded
                 text = text.lower()
-            yield b"".join(map(self.known.__getitem__, _STOP.sub(" ", text).replace("\n", " ").split(" ")))
+            yield b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
             if len(self.known) > CACHE_WORDS:
                 self.known.old = {}
                 self.known = _Words(self.tokenizer, self.kind, self.known, self.known.plain)

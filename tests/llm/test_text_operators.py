@@ -99,6 +99,18 @@ def test_harmed_shards_are_refused(spark, many_shards, tmp_path, harm):
         token_records.read_records(m).collect()
 
 
+def test_signs_behind_words_are_cut_as_the_library_cuts_them():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, (encoder, dtype) = Tokenizer.from_file(path), token_records._encoder(path, 2)
+    assert encoder.known.plain
+    words = ["word,%%%", "Word.", "É.!!", "ß,", "it's.", "it'll!'", "x<|endoftext|>", "x<|", "a-b", "e.g.", "ſ.", "İ,", "e\u0301.", "o\u0327,\u0301", "44.234.", "_a_", "a`~", "a" * 99 + "," * 99, "漢,", "a.\tb", "a,\u00a0b"]
+    texts = [*words, *(w + x for w in words for x in words), " ".join(words), "\n".join(words)]
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(ids, dtype).tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_records_of_nothing(spark):
     m = token_records.write_records(docs(spark, []), P.path("word_bpe_49k.json"), 2)
     assert m.count() == 0 and token_records.read_records(m).count() == 0
