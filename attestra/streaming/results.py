@@ -27,24 +27,34 @@ def by_window(verdicts: DataFrame, width: str = "10 minutes", late: str = "1 hou
     return w.select("window.start", "window.end", "verdict", "n")
 
 
-def when_complete(verdicts: DataFrame) -> DataFrame:
+def when_complete(verdicts: DataFrame, wait_seconds: int | None = None, late: str = "1 hour") -> DataFrame:
     """(doc_id, n, ng, chk, level): one row for a document as soon as it has as many verdicts as it expects.
 
-    State is three counts a document, and goes when the document is complete.
+    State is five numbers for a document, and goes when its row has been given. With wait_seconds, a document that gets nothing for
+    as long in event time ends incomplete: its row tells what came, its level is bad, and the state doesn't grow with the
+    stream; rows later than the watermark are left out then, and rows without a time wait from the watermark on. Without it,
+    every row counts, and incomplete documents are kept. Rows without a document are left out; null verdicts are
+    neither OK nor NG.
     """
     out = T.StructType([T.StructField("doc_id", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n", "ng", "chk")), T.StructField("level", T.StringType())])
-    kept = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "ng", "ok")])
+    kept = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "ng", "ok", "expected", "last")])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, ng, ok = state.get if state.exists else (0, 0, 0)
-        expected = 0
-        for b in batches:
+        n, ng, ok, expected, last = state.get if state.exists else (0, 0, 0, 0, 0)
+        ended = state.hasTimedOut
+        for b in [] if ended else batches:
             n, ng, ok = n + len(b), ng + int((b.verdict == "NG").sum()), ok + int((b.verdict == "OK").sum())
-            expected = max(expected, int(b.expect_total.max() or 0))
-        if expected and n >= expected:
-            state.remove() if state.exists else None
+            expected, last = (max(x, int(c.fillna(0).max())) for x, c in ((expected, b.expect_total), (last, b.ms)))
+        if ended or (expected and n >= expected):
+            if state.exists:
+                state.remove()
             yield pd.DataFrame({"doc_id": [key[0]], "n": [n], "ng": [ng], "chk": [n - ng - ok], "level": ["ok" if ok == n == expected else "bad"]})
-        else:
-            state.update((n, ng, ok))
-
-    return verdicts.groupBy("doc_id").applyInPandasWithState(update, out, kept, "append", GroupStateTimeout.NoTimeout)
+            return
+        state.update((n, ng, ok, expected, last))
+        if wait_seconds is not None:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1000 * wait_seconds)
+
+    rows = verdicts.where("doc_id is not null").withColumn("ms", F.unix_millis("at"))
+    rows = rows if wait_seconds is None else rows.withWatermark("at", late)
+    timeout = GroupStateTimeout.NoTimeout if wait_seconds is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("doc_id").applyInPandasWithState(update, out, kept, "append", timeout)

@@ -249,3 +249,16 @@ def test_streams(spark, tmp_path, name):
         assert {(r[2], r[3]) for r in got} == {("OK", 2), ("OK", 1), ("NG", 1)}
     else:
         assert got == {("d", 2, 0, 0, "ok"), ("e", 1, 1, 0, "bad")}
+
+
+@pytest.mark.parametrize("wait", [86_400, None])
+def test_documents_that_stay_incomplete(spark, tmp_path, wait):
+    rows = [("late", "OK", 3, 5), ("two", "OK", None, 10), ("two", "OK", 2, 20), ("two", None, None, 30), ("one", "OK", 1, 40), (None, "OK", 1, 50), ("clock", "CHECK", 9, 400_000)]
+    for i, (d, v, n, s) in enumerate(rows):
+        df = spark.createDataFrame([(d, v, n)], "doc_id string, verdict string, expect_total long").withColumn("at", F.timestamp_seconds(F.lit(s)))
+        df.coalesce(1).write.json(str(tmp_path / f"in{i}"))
+    stream, name = results.when_complete(results.verdict_stream(spark, str(tmp_path / "in*")), wait), f"ended_{wait}"
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    ended = {("late", 1, 0, 0, "bad")} if wait else set()
+    assert {tuple(r) for r in spark.table(name).collect()} == {("two", 3, 0, 1, "bad"), ("one", 1, 0, 0, "ok")} | ended
