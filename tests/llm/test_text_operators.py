@@ -221,6 +221,24 @@ def test_repeats_nulls_and_ids_with_several_texts(spark):
     assert got == [(7, 1, 7), (7, 36, 7), (9, 37, 7)]
 
 
+def test_copies_stand_aside_for_one_document(spark, monkeypatch):
+    records, seen = ngram_join._records, []
+    monkeypatch.setattr(ngram_join, "_records", lambda *a: seen.append(records(*a)) or seen[-1])
+    text = lambda a, n: " ".join(f"w{a}x{i}" for i in range(n))
+    rows = [(10 * i + j, text(i, 40)) for i in range(3) for j in range(8)] + [(100, text(7, 60)), (101, text(7, 61)), (102, text(7, 61))]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs(spark, rows).repartition(6)).collect()}
+    assert got == {d: 10 * (d // 10) for d, _ in rows}
+    # Texts that only their own copies share shingles with aren't searched, wherever the copies lie.
+    assert seen[0].count() == 2
+
+
+def test_bits_of_chosen_ids_miss_none(spark):
+    ids = np.random.default_rng(4).integers(-(1 << 39), 1 << 39, 40_000)
+    bits = ngram_join._bloom(spark.createDataFrame([(i,) for i in ids[:20_000].tolist()], "id long"), 40_000)
+    assert ngram_join._maybe(bits, ids[:20_000]).all() and ngram_join._maybe(bits, ids[20_000:]).mean() < 0.01
+    assert not ngram_join._maybe(ngram_join._bloom(spark.createDataFrame([], "id long"), 0), ids).any()
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_large_blocks_whose_members_do_not_all_link(spark, seed):
     """Groups of documents share rare passages, and only some of a group are near copies."""
